@@ -1,4 +1,4 @@
-"""All registered queries of the engine, with the SQL that says the same."""
+"""All registered queries of the engine, with the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
@@ -8,10 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL if there is any."""
+
+    def register(f: Query) -> Query:
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from tesserae.plans import numeric, product, resolution, star, streams, substrate, text  # noqa: F401
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)

@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into a sequence of lines, one per block element.  A line weighs as many characters as its text
-has outside links; lines in regions that are boilerplate by element or class weigh nothing, and where a page has an
-``article`` or ``main`` element so do the lines outside it.  The weights are summed over sliding windows of lines; text
+has outside links, and nothing if half of it is links; lines in regions that are boilerplate by element or class weigh
+nothing.  Where a page has an ``article`` or ``main`` element, the lines inside weigh their length, all others nothing.  The weights are summed over sliding windows of lines; text
 is kept from each point where the sum surges over a threshold to the point where it dives to zero.
 
 A null page counts as empty; an empty page has the empty text.  Truncated markup ends at the end of the page; a tag
@@ -71,7 +71,8 @@ def lines_of(page: str, dropped: frozenset[str] = DROPPED) -> list[Line]:
         nonlocal linked
         text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
         _, cause, depth, _ = stack[-1]
-        lines.append(Line(text, max(0, len(text) - linked) if not cause else 0, bool(cause), depth > 0))
+        solid = len(text) - text.count(" ")
+        lines.append(Line(text, 0 if cause or 2 * linked >= solid else len(text) - linked, bool(cause), depth > 0))
         parts.clear()
         linked = 0
 
@@ -82,7 +83,7 @@ def lines_of(page: str, dropped: frozenset[str] = DROPPED) -> list[Line]:
         if data:
             parts.append(data)
             if stack[-1][3]:
-                linked += len(data.strip())
+                linked += len(_SPACES.sub("", data))
         if not m:
             break
         at = m.end()
@@ -127,8 +128,8 @@ def main_text(page: str) -> str:
 
 def _between(lines: list[Line]) -> str:
     lines = [x for x in lines if x.text]
-    within = any(x.inside and x.weight for x in lines)
-    weight = [x.weight if x.inside or not within else 0 for x in lines]
+    within = any(x.inside and not x.dropped for x in lines)
+    weight = [len(x.text) * (x.inside and not x.dropped) for x in lines] if within else [x.weight for x in lines]
     sums = [sum(weight[k : k + WINDOW]) for k in range(len(weight))]
     surge = 1 if within else min(SURGE, max(sums, default=0) / 2)
     kept: list[str] = []

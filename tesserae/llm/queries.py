@@ -75,5 +75,25 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_token_binary, op2_media_columns, op3_language_mixture, op4_html_blocks, op5_secret_scan, op6_quality_rules, op7_near_dup, op8_packing, op9_byte_bpe, op10_quality_qda)}
 
 
+def _secret_sql() -> str:
+    """The scan in SQL: matches and the gaps between them, whose lengths add up to positions."""
+    parts = []
+    for order, rule in enumerate(secret_scan.RULES):
+        regex = rule.regex.replace("'", "''")
+        parts.append(
+            f"SELECT row, '{rule.kind}' AS kind, {order} AS kind_order, {rule.least} AS least, regexp_extract_all(t, '{regex}') AS found, regexp_extract_all(t, '{regex}', {rule.group}) AS sized, "
+            f"string_split_regex(t, '{regex}') AS gaps FROM d WHERE regexp_matches(t, '{regex}')"
+        )
+    total = lambda values, upto: f"coalesce(list_sum(list_transform({values}[1:{upto}], lambda x: length(x))), 0)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents), m AS ({' UNION ALL '.join(parts)}),
+i AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+s AS (SELECT row, kind, kind_order, CAST({total('gaps', 'i')} + {total('found', 'i - 1')} AS BIGINT) AS b, CAST({total('gaps', 'i')} + {total('found', 'i')} AS BIGINT) AS e FROM i WHERE length(sized[i]) >= least),
+g AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+ string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, kind_order) FILTER (kind_order < {len(secret_scan.BASE_RULES)}) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, kind_order) AS spans FROM s GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.row = g.row"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are tested against plain versions."""
+    return {"op5_secret_scan": _secret_sql()}

@@ -31,9 +31,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_folder(spark)}/tesserae-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tesserae-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_folders(spark: SparkSession) -> None:
+    """Deletes all folders that this process made, once no frame that reads them is needed any more."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        path = paths(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -73,8 +73,8 @@ class Model(NamedTuple):
 
 def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> Model:
     """Learns from whole texts of a sample bounded by ``sample`` per language, drawn by a hash of the id."""
-    rows = clash_free(labelled, [id_column, text_column, language_column]).toDF("id", "text", "lang").filter("lang is not null and text is not null")
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = clash_free(labelled, [id_column, text_column, language_column]).toDF("id", "text", "lang").filter("lang is not null")
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # reads that column only
     if not totals:
         return Model([], np.zeros((1 << BITS, 0)))
     languages = sorted(totals)
@@ -89,7 +89,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_column: str
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k, lang in enumerate(languages):
-                some = [t for t, x in zip(texts, langs, strict=True) if x == lang]
+                some = [t or "" for t, x in zip(texts, langs, strict=True) if x == lang]
                 for a, b in chunks(some):
                     total[k] += np.bincount(trigrams(some[a:b]).cells, minlength=cells)
         used = np.flatnonzero(total)

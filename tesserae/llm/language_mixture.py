@@ -31,6 +31,8 @@ SMOOTHING = 0.5
 ROUNDS = 8
 #: A word says no more than this for one language over the best of the others, so that one odd word can't decide.
 WORD_LIMIT = 12.0
+#: A document of which no learned language has so large a share is rejected by ``accepted``.
+LEAST_SHARE = 0.35
 
 _fold: np.ndarray | None = None
 
@@ -178,7 +180,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     return out.withColumnRenamed("id", id_column)
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_column: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, model: Model, least: float = LEAST_SHARE, text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one learned language has a share of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

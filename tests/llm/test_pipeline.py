@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tesserae.llm import quality_qda, secret_scan
-from tesserae.llm.language_mixture import infer, learn
+from tesserae.llm.language_mixture import LEAST_SHARE, infer, learn
 from tesserae.llm.queries import queries, remainder
 
 from .test_llm import check_sequences, plain_components, plain_spans
@@ -49,7 +49,7 @@ def test_language_keeps_documents_with_letters(stages):
     model = learn(stages["quality"].filter(remainder(5) != 0))
     rows = stages["quality"].collect()
     shares, has = infer(model, [r["text"] or "" for r in rows])
-    want = sorted(str(r["doc_id"]) for r, s, h in zip(rows, shares, has, strict=True) if h and s.max() >= 0.5)
+    want = sorted(str(r["doc_id"]) for r, s, h in zip(rows, shares, has, strict=True) if h and s.max() >= LEAST_SHARE)
     assert sorted(str(r["doc_id"]) for r in stages["language"].collect()) == want
 
 

@@ -32,14 +32,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdicts = near_dup.near_duplicates(docs)
     # written, so that its size is known: Spark broadcasts it only under its own threshold
     gone = written(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")), "pipeline-duplicates")
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by its kind in brackets; n_chars follows the new text."""
-    scanned = secret_scan.scan(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    clean = scanned.withColumn("text", secret_scan.redacted()).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return secret_scan.redact(docs, length_column="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,10 +186,9 @@ def _spans(rule: Rule, order: int) -> Column:
     return F.aggregate(steps, begin, add, lambda s: s["found"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_column``, ``text``, ``spans array<struct<start,kind,end>>`` (kind is a rule's number) per row, with ``keep``."""
-    kept = {f"keep_{k}": c for k, c in enumerate(keep)}
-    named = clash_free(docs, [id_column, text_column, *keep]).toDF("id", "text", *kept).withColumn("text", whole_text())
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], id_column: str, text_column: str, keep: list[str]) -> DataFrame:
+    """id, text, spans, and the ``keep`` columns as keep_0, keep_1 and so on, so that no name of theirs clashes."""
+    named = clash_free(docs, [id_column, text_column, *keep]).toDF("id", "text", *[f"keep_{k}" for k in range(len(keep))]).withColumn("text", whole_text())
     named = named.withColumn("content", F.xxhash64("text"))
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     asked = {kind: q for kind, q in queries.items() if q is not None}
@@ -208,7 +207,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc
         to_verify = F.array_contains("rules", rule.kind) if rule.kind in asked else F.lit(True)
         each.append(F.when(F.coalesce(to_verify, F.lit(False)) & F.col("text").rlike(rule.regex), _spans(rule, k)).otherwise(empty))
     spans = F.array_sort(F.flatten(F.array(*each)))
-    return looked.select(F.col("id").alias(id_column), F.col("text"), spans.alias("spans"), *[F.col(k).alias(c) for k, c in kept.items()])
+    return looked.select("id", "text", spans.alias("spans"), *[f"keep_{k}" for k in range(len(keep))])
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``id_column``, ``text``, ``spans array<struct<start,kind,end>>`` (kind is a rule's number) per row."""
+    return _scanned(docs, rules, id_column, text_column, []).withColumnRenamed("id", id_column)
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -229,3 +233,13 @@ def redacted(rules: tuple[Rule, ...] = RULES) -> Column:
 
     whole = F.aggregate("spans", begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     return F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = None) -> DataFrame:
+    """``docs`` with the same columns, secrets in the text replaced by their kinds, and the length column renewed."""
+    keep = [c for c in docs.columns if c not in (id_column, text_column)]
+    found = _scanned(docs, rules, id_column, text_column, keep).withColumn("text", redacted(rules))
+    named = {id_column: F.col("id"), text_column: F.col("text")} | {c: F.col(f"keep_{k}") for k, c in enumerate(keep)}
+    if length_column is not None:
+        named[length_column] = F.length("text").cast(docs.schema[length_column].dataType)
+    return found.select(*[named[c].alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ from tesserae.llm import quality_qda, secret_scan
 from tesserae.llm.language_mixture import LEAST_SHARE, infer, learn
 from tesserae.llm.queries import queries, remainder
 
-from .test_llm import check_sequences, plain_components, plain_spans
+from .test_llm import EXTRA, check_sequences, plain_components, plain_spans
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -92,3 +92,12 @@ def test_registered_queries_run_on_the_small_tables(spark):
     for name, query in queries().items():
         df = query(spark, SMALL)
         assert df.agg(F.count("*")).first()[0] > 0, name
+
+
+def test_clashing_columns_pass_all_stages(spark):
+    names = [*EXTRA, "gone", "label_of", "quality", "lang_pred", "keep_1", "found_id"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("doc_id < 40").select("*", *[F.lit(7).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns[5:] == names and {tuple(r)[5:] for r in docs.collect()} == {(7,) * len(names)}, name
+    assert corpus_pipeline.pack(spark, docs, SMALL).count() > 0

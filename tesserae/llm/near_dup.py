@@ -171,7 +171,8 @@ def remaining_links(members: DataFrame, first: DataFrame, texts: DataFrame) -> D
 
     def mixed(rows: DataFrame) -> DataFrame:
         open_ = rows.groupBy("bucket").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.min("n").alias("least"), F.count("*").alias("held")).filter("low != high")
-        return rows.join(open_.select("bucket", "least", "held"), "bucket")
+        # written first: a join whose sides are both plain exchanges can have its hot buckets split
+        return rows.join(checkpointed(open_.select("bucket", "least", "held")), "bucket")
 
     rest = written(mixed(owned), "near-dup-open")
 
@@ -213,7 +214,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     rows = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     stars = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("bucket", "rep")).alias("pivot")).filter("size > 1")
-    members = written(rows.join(stars, "bucket").select("bucket", "rep", "n", "pivot"), "near-dup-members")
+    # the few keys of buckets with company are written first: a join of plain exchanges can have hot buckets split
+    members = written(rows.join(written(stars, "near-dup-stars"), "bucket").select("bucket", "rep", "n", "pivot"), "near-dup-members")
 
     pairs = members.filter("rep != pivot").select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
     bits = reps.select("rep", "bits")

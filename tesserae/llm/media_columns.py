@@ -87,7 +87,7 @@ def store_payloads(docs: DataFrame, folder: str, id_column: str = "doc_id", text
         size = 0
 
         def close() -> pa.RecordBatch:
-            name = store.write_named(b"".join([*parts, bytes(1024)]), ".tar")
+            name = store.write_named({".tar": b"".join([*parts, bytes(1024)])})
             n, digest, offset, length = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array([f"{name}.tar"] * len(n), pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["id", "n_bytes", "payload_sha256", "shard", "offset", "length"])
 

@@ -156,7 +156,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, window: int
     vocabulary needs them, padded with ``pad_id``), ``.cu`` (32-bit cumulative segment lengths of each row from 0
     on) and ``.rows`` (64-bit begin of each row in ``.cu``).  Positions restart at 0 wherever a cumulative length
     says that a segment begins, and padding follows the last one; ``position_resets`` has those places.  A shard's
-    name is the digest of its ids, so writing it again after a lost task changes nothing.
+    name is the digest of all three, so writing it again after a lost task changes nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +173,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, window: int
             rows = np.concatenate(([0], np.cumsum(segments + 1))).astype("<i8")
             cumulative = np.zeros(rows[-1], "<i4")  # each row: 0, then the end of each segment
             cumulative[np.arange(len(row)) + row + 1] = offset + length
-            name = store.write_named(matrix.tobytes(), ".ids")
-            store.write(cumulative.tobytes(), f"{name}.cu")
-            store.write(rows.tobytes(), f"{name}.rows")
+            name = store.write_named({".ids": matrix.tobytes(), ".cu": cumulative.tobytes(), ".rows": rows.tobytes()})
             # read back
             stored = np.frombuffer(store.read(f"{name}.ids"), kind).reshape(-1, window)
             cu, begin = np.frombuffer(store.read(f"{name}.cu"), "<i4"), np.frombuffer(store.read(f"{name}.rows"), "<i8")

@@ -26,10 +26,15 @@ class Store:
             out.write(data)
         self.system.move(own, f"{self.path}/{name}")
 
-    def write_named(self, data: bytes, ending: str) -> str:
-        """Writes under the digest of ``data`` plus ``ending``; returns the digest."""
-        name = hashlib.sha256(data).hexdigest()[:40]
-        self.write(data, name + ending)
+    def write_named(self, files: dict[str, bytes]) -> str:
+        """Writes files that belong together under one name, the digest of them all, plus their endings."""
+        digest = hashlib.sha256()
+        for ending, data in files.items():
+            digest.update(f"{ending} {len(data)} ".encode())
+            digest.update(data)
+        name = digest.hexdigest()[:40]
+        for ending, data in files.items():
+            self.write(data, name + ending)
         return name
 
     def open(self, name: str):

@@ -185,6 +185,13 @@ def test_op1_reads_back_what_it_wrote(spark, docs, none):
     assert packing.write_packed(none, folder, JSON).count() == 0
 
 
+def test_op1_shards_of_equal_ids_but_other_segments_differ(spark):
+    folder = fresh_folder(spark, "test")
+    one, two = (spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1) for rows in ([(1, "!")], [(1, ""), (2, None)]))
+    a, b = packing.write_packed(one, folder, JSON).collect(), packing.write_packed(two, folder, JSON).collect()
+    assert a[0]["ids_crc32"] == b[0]["ids_crc32"] and a[0]["shard"] != b[0]["shard"] and (a[0]["cu_seqlens"], b[0]["cu_seqlens"]) == ([0, 2], [0, 1, 2])
+
+
 # --- media ----------------------------------------------------------------------------------------------------------
 
 

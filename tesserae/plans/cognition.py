@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import collate
-from tesserae.operators import cognition, resolve, syntax, targets
+from tesserae.operators import cognition, exceptions, resolve, syntax, targets
 from tesserae.plans.catalog import registered, table
 
 
@@ -92,3 +92,31 @@ def forward_passes(spark: SparkSession, d: str) -> DataFrame:
         raise RuntimeError(done.disposition)
     finished = done.obligations.unionByName(rows.filter("disposition = 3"), allowMissingColumns=True)
     return finished.groupBy("goal").agg(F.when(F.max("disposition") == 3, "blocked").otherwise("complete").alias("state"))
+
+
+_CONDITIONS = "(VALUES (1, 30, 'retry'), (2, 20, 'resume'), (3, 10, 'reject'), (4, 40, 'replay'), (5, 50, 'none')) AS r(condition, priority, recovery)"
+
+
+@registered(f"""
+WITH o AS (SELECT user_id AS execution, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS condition FROM events),
+s AS (SELECT execution, arg_min(r.condition, priority) AS condition, arg_min(recovery, priority) AS recovery, CAST(bit_or(1 << r.condition) AS BIGINT) AS observed_mask FROM o JOIN {_CONDITIONS} ON o.condition = r.condition GROUP BY execution)
+SELECT s.*, count(o_orderkey) FILTER (o_orderstatus = 'O') AS open_obligations, count(o_orderkey) FILTER (o_orderstatus = 'F') AS units FROM s LEFT JOIN orders ON o_custkey = execution GROUP BY ALL""")
+def why_not_records(spark: SparkSession, d: str) -> DataFrame:
+    condition = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 4).otherwise(5)
+    observed = table(spark, d, "events").select(F.col("user_id").alias("execution"), condition.alias("condition"))
+    registry = spark.createDataFrame([(1, 30, "retry"), (2, 20, "resume"), (3, 10, "reject"), (4, 40, "replay"), (5, 50, "none")], "condition int, priority int, recovery string")
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("execution"), F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3).alias("disposition"))
+    done = orders.filter("disposition = 2").groupBy("execution").agg(F.count("*").alias("units"))
+    return exceptions.why_not(exceptions.classified(observed, registry), orders, done)
+
+
+@registered("""
+WITH l AS (SELECT substr(sha256(text), 1, 32) AS id, sha256(text) AS witness, min(doc_id) AS position FROM documents GROUP BY ALL), q AS (SELECT substr(sha256(text), 1, 32) AS id, CASE WHEN doc_id % 10 = 0 THEN 'stale' ELSE sha256(text) END AS witness FROM documents WHERE doc_id % 5 = 0)
+SELECT q.id AS id, l.position AS position, count(*) AS probes FROM q JOIN l ON q.id = l.id AND q.witness = l.witness GROUP BY ALL""")
+def reverse_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Ids looked up in a table from identity to position; a hit counts only if the full witness agrees."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("witness"))
+    prefix = F.substring("witness", 1, 32)
+    lookup = docs.groupBy(prefix.alias("id"), "witness").agg(F.min("doc_id").alias("position"))
+    asked = docs.filter("doc_id % 5 = 0").select(prefix.alias("id"), F.when(F.col("doc_id") % 10 == 0, "stale").otherwise(F.col("witness")).alias("witness"))
+    return asked.join(lookup, ["id", "witness"]).groupBy("id", "position").agg(F.count("*").alias("probes"))

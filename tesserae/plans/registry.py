@@ -82,6 +82,9 @@ def execute(name: str, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not operation.faults(batch).isEmpty():
         raise InvalidBatch(f"{name}: a record is invalid")
     out = operation.transform(batch)
-    sealed = fingerprint(batch).select(F.col("rows").alias("rows_in"), F.col("digest").alias("input")).join(fingerprint(out).select(F.col("rows").alias("rows_out"), F.col("digest").alias("output")))
+    none = lambda n, kind: F.lit(None).cast(kind).alias(n)
+    before = fingerprint(batch).select(F.col("rows").alias("rows_in"), F.col("digest").alias("input"), none("rows_out", "bigint"), none("output", "string"))
+    after = fingerprint(out).select(none("rows_in", "bigint"), none("input", "string"), F.col("rows").alias("rows_out"), F.col("digest").alias("output"))
+    sealed = before.unionByName(after).agg(*[F.max(c).alias(c) for c in ("rows_in", "input", "rows_out", "output")])
     receipt = sealed.select(F.lit(name).alias("operation"), F.lit(OPCODES[name]).alias("opcode"), "*")
     return out, receipt.withColumn("receipt_id", ident.record_id("receipt", *map(F.col, ("operation", "input", "output"))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import ident
-from tesserae.operators import occurrence, relations, response
+from tesserae.operators import closure, occurrence, relations, response
 from tesserae.plans.catalog import registered, table
 
 #: The word whose neighbourhood the flagship query asks for.
@@ -32,6 +32,15 @@ def document_runs(spark: SparkSession, d: str) -> DataFrame:
     return occurrence.runs(occurrence.tokens(table(spark, d, "documents"), "doc_id", F.lower("text")))
 
 
+def _anchored_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of the documents that have the anchor, which are all that its relations touch.
+
+    They are told from the others before anything is exploded, and kept, since several relations read them.
+    """
+    docs = table(spark, d, "documents").filter(F.array_contains(F.split(F.lower("text"), " "), ANCHOR))
+    return closure.checkpointed(occurrence.runs(occurrence.tokens(docs, "doc_id", F.lower("text"))))
+
+
 def _anchor(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(ANCHOR,)], "entity string")
 
@@ -50,7 +59,7 @@ SELECT target, count(*) AS candidate_count, CAST(sum(multiplicity) AS BIGINT) AS
  CAST(sum(CASE WHEN relation = 8 THEN multiplicity ELSE 0 END) AS BIGINT) AS mass_successor, CAST(sum(CASE WHEN relation = 16 THEN multiplicity ELSE 0 END) AS BIGINT) AS mass_cooccur FROM c GROUP BY target""")
 def response_field_anchor(spark: SparkSession, d: str) -> DataFrame:
     """What stands in which structural relation to the anchor word, with what mass, over all documents."""
-    return response.response_field(_all_relations(document_runs(spark, d), _anchor(spark)))
+    return response.response_field(_all_relations(_anchored_runs(spark, d), _anchor(spark)))
 
 
 @registered("WITH " + _TOKENS + " SELECT container, CAST(sum(run) AS BIGINT) AS occurrences, count(*) AS runs, max(run) AS longest, count(DISTINCT entity) AS entities FROM r GROUP BY ALL")
@@ -71,12 +80,12 @@ def container_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("WITH " + _CANDIDATES + " SELECT target, count(*) AS n, CAST(sum(multiplicity) AS BIGINT) AS multiplicity FROM c WHERE relation = 8 GROUP BY target")
 def successors(spark: SparkSession, d: str) -> DataFrame:
-    return relations.neighbours(document_runs(spark, d), _anchor(spark), relations.SUCCESSOR).groupBy("target").agg(F.count("*").alias("n"), F.sum("multiplicity").alias("multiplicity"))
+    return relations.neighbours(_anchored_runs(spark, d), _anchor(spark), relations.SUCCESSOR).groupBy("target").agg(F.count("*").alias("n"), F.sum("multiplicity").alias("multiplicity"))
 
 
 @registered("WITH " + _CANDIDATES + " SELECT target, count(*) AS n, CAST(sum(multiplicity) AS BIGINT) AS multiplicity FROM c WHERE relation = 4 GROUP BY target")
 def predecessors(spark: SparkSession, d: str) -> DataFrame:
-    return relations.neighbours(document_runs(spark, d), _anchor(spark), relations.PREDECESSOR).groupBy("target").agg(F.count("*").alias("n"), F.sum("multiplicity").alias("multiplicity"))
+    return relations.neighbours(_anchored_runs(spark, d), _anchor(spark), relations.PREDECESSOR).groupBy("target").agg(F.count("*").alias("n"), F.sum("multiplicity").alias("multiplicity"))
 
 
 @registered("WITH " + _TOKENS + " SELECT CAST(container AS VARCHAR) AS source, entity AS target, CAST(sum(run) AS BIGINT) AS multiplicity FROM r WHERE container IN (SELECT doc_id FROM documents WHERE source = 'src3') GROUP BY ALL")

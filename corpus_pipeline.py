@@ -16,10 +16,10 @@ from tesserae.llm.shared import table, written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the discriminant, learned from the labels, scores under 0.7."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_of"), F.col("quality"))
-    training = docs.filter(remainder(4) != 2).join(labels.select(F.col("label_of").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    model = quality_qda.fit(quality_qda.features(training), labels.withColumnRenamed("label_of", "doc_id"))
-    return quality_qda.accepted(docs, model)
+    # vectors are few bytes: they meet the labels, the texts stay where they are.  They are written first, so that the
+    # Python of features and that of moments never share a task, whatever join Spark picks
+    vectors = written(quality_qda.features(docs.filter(remainder(4) != 2)), "pipeline-vectors")
+    return quality_qda.accepted(docs, quality_qda.fit(vectors, table(spark, sf_dir, "labels")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,10 +110,10 @@ class MatrixBPE:
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a, b] = rank
-        self.pairs = pairs
         keys = np.array([a * self.size + b for a, b in pairs], np.int64)
         values = np.array(list(pairs.values()), np.int64)
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        self._pairs: dict[int, int] | None = None
         self.mask = np.int64((1 << bits) - 1)
         self.keys = np.full(1 << bits, -1, np.int64)
         self.values = np.full(1 << bits, self.size, np.int64)
@@ -216,21 +216,24 @@ class MatrixBPE:
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        pairs = self.pairs
-        heap = [(r, i) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
+        if self._pairs is None:  # only texts with such pieces need it
+            used = self.keys >= 0
+            self._pairs = dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+        pairs, size = self._pairs, self.size
+        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(ids[i] * size + ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j < 0 or pairs.get((ids[i], ids[j])) != rank:
+            if ids[i] < 0 or j < 0 or pairs.get(ids[i] * size + ids[j]) != rank:
                 continue
             ids[i], ids[j] = rank, -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
-                if (r := pairs.get((rank, ids[after[i]]))) is not None:
+                if (r := pairs.get(rank * size + ids[after[i]])) is not None:
                     heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := pairs.get((ids[before[i]], rank))) is not None:
+            if before[i] >= 0 and (r := pairs.get(ids[before[i]] * size + rank)) is not None:
                 heapq.heappush(heap, (r, before[i]))
         return [x for x in ids if x >= 0]
 
@@ -268,7 +271,7 @@ class Encoder:
     so that a worker's memory doesn't grow with its input.
     """
 
-    def __init__(self, pieces: MatrixBPE, bits: int = 21, pool: int = 8_000_000):
+    def __init__(self, pieces: MatrixBPE, bits: int = 20, pool: int = 3_000_000):
         self.pieces, self.bits, self.limit = pieces, bits, pool
         self._forget()
 

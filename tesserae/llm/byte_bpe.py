@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tesserae.llm.bpe import Decoder, encoder_of, read_ranks
-from tesserae.llm.shared import clash_free
+from tesserae.llm.shared import clash_free, small
 from tesserae.llm.wordgrid import chunks
 
 
@@ -27,7 +27,7 @@ def encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(ranks_path)
-        for batch in batches:
+        for batch in small(batches):
             texts = _texts(batch.column(1))
             for a, b in chunks(texts):
                 ids, first = encoder.encode(texts[a:b])
@@ -64,7 +64,7 @@ def digests(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(ranks_path)
         decoder = Decoder(read_ranks(ranks_path))
-        for batch in batches:
+        for batch in small(batches):
             texts = _texts(batch.column(1))
             counts, of_ids, of_bytes = [], [], []
             for a, b in chunks(texts):

@@ -19,7 +19,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.shared import clash_free
+from tesserae.llm.shared import clash_free, small
 
 #: Lines in a window, and the weight at which text surges where no element marks the article.
 WINDOW, SURGE = 3, 86
@@ -147,9 +147,11 @@ def _between(lines: list[Line]) -> str:
 def extract(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """``id_column``, the ``keep`` columns, ``text`` and ``n_chars`` of every page."""
 
+    last = len(keep) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(x or "") for x in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in small(batches, last):
+            texts = [main_text(x or "") for x in batch.column(last).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*batch.schema.names[:-1], "text", "n_chars"])
 
     wanted = clash_free(pages, [id_column, *keep, html_column])

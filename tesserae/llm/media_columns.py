@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.shared import clash_free, utf8
+from tesserae.llm.shared import clash_free, small, utf8
 from tesserae.llm.storage import Store
 
 #: Samples in a line, and the bytes to a multiple of which payloads are padded.
 LINE = 64
 #: Bytes of stored media after which a shard is closed; a task holds one shard in memory.
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 16_000_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 
@@ -91,7 +91,7 @@ def store_payloads(docs: DataFrame, folder: str, id_column: str = "doc_id", text
             n, digest, offset, length = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array([f"{name}.tar"] * len(n), pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["id", "n_bytes", "payload_sha256", "shard", "offset", "length"])
 
-        for batch in batches:
+        for batch in small(batches):
             begin = 0
             for k, text in enumerate(utf8(batch.column(1))):
                 payload = pad(text)

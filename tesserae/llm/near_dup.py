@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import components
-from tesserae.llm.shared import checkpointed, clash_free, utf8, whole_text, written
+from tesserae.llm.shared import checkpointed, clash_free, small, utf8, whole_text, written
 from tesserae.llm.wordgrid import chunks, mix64, shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """``docs`` (id, text) to id, n_shingles, class (digest of the set, null if empty), bands and bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = utf8(batch.column(1))
             for a, b in chunks(texts):
                 sets = shingle_sets(texts[a:b])
@@ -123,7 +123,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "u_text", "v_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2):
             a, b = utf8(batch.column(2)), utf8(batch.column(3))
             good = []
             for x, y in chunks(list(map(bytes.__add__, a, b))):
@@ -177,7 +177,7 @@ def remaining_links(members: DataFrame, first: DataFrame, texts: DataFrame) -> D
     rest = written(mixed(owned), "near-dup-open")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             held = utf8(batch.column(1))
             for a, b in chunks(held):
                 sets = shingle_sets(held[a:b])
@@ -189,7 +189,7 @@ def remaining_links(members: DataFrame, first: DataFrame, texts: DataFrame) -> D
     alone = singles.groupBy("only").agg(F.count("*").alias("alone"))
     # an intersection i with a partner of size m has i <= n - alone and 100 * i >= LIMIT * (n + m - i)
     bounded = rest.join(alone, F.col("rep") == F.col("only"), "left").withColumn("most", F.expr(f"({100 + LIMIT} * (n - coalesce(alone, 0))) div {LIMIT} - n"))
-    able = bounded.filter(f"100 * most >= {LIMIT} * n and most >= least").select("bucket", "rep", "n", "owner")
+    able = checkpointed(bounded.filter(f"100 * most >= {LIMIT} * n and most >= least").select("bucket", "rep", "n", "owner"))
     left = written(mixed(able), "near-dup-left")
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")

@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tesserae.llm.bpe import encoder_of
-from tesserae.llm.shared import clash_free
+from tesserae.llm.shared import clash_free, small
 from tesserae.llm.storage import Store
 from tesserae.llm.wordgrid import chunks
 
-#: Tokens that are gathered before they are packed together; about 8 MB of ids.
-GROUP_TOKENS = 2_000_000
+#: Tokens that are gathered before they are packed together; about 4 MB of ids.
+GROUP_TOKENS = 1_000_000
 
 
 class CapacityTree:
@@ -112,7 +112,7 @@ def packed_groups(batches: Iterator[pa.RecordBatch], path: str, window: int, end
         size = np.concatenate(sizes)
         return Group(np.concatenate(held), np.concatenate(([0], np.cumsum(size))), pa.concat_arrays(keys), best_fit(size, window))
 
-    for batch in batches:
+    for batch in small(batches):
         texts = [x or "" for x in batch.column(1).to_pylist()]
         for a, b in chunks(texts):
             ids, first = encoder.encode(texts[a:b])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.shared import clash_free, utf8
+from tesserae.llm.shared import clash_free, small, utf8
 from tesserae.llm.textstats import base_statistics
 from tesserae.llm.wordgrid import chunks
 
@@ -41,7 +41,7 @@ PRICE = 20
 
 def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = utf8(batch.column(1))
             for a, b in chunks(texts):
                 s = base_statistics(texts[a:b])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +79,26 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def struct_of(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)  # type: ignore[attr-defined]
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can: idle Python workers live beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def small(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices that hold about ``limit`` bytes of a text column each, one row at least.
+
+    Texts become Python objects and work arrays a slice at a time, so a worker's memory doesn't follow Spark's batches.
+    """
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+        begin, held = 0, 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(size, held + limit, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin, held = end, int(size[end - 1])
+        _give_back()
 
 
 def clash_free(df: DataFrame, wanted: Sequence[str]) -> DataFrame:

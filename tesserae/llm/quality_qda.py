@@ -21,34 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textstats as ts
-from tesserae.llm.shared import clash_free, utf8
-from tesserae.llm.wordgrid import chunks
+from tesserae.llm.shared import clash_free, small, utf8
+from tesserae.llm.wordgrid import chunks, split_words, word_hashes
 
-FEATURES = ("words", "word_length", "distinct", "repeats", "dup_lines", "upper", "digits", "symbols", "marks", "stops", "quotes", "rest", "line_length")
+FEATURES = ("words", "word_length", "distinct", "upper", "digits", "symbols", "marks", "stops", "quotes", "rest", "line_length")
+#: Words and characters that are added to a text when shares are taken, so that very short texts aren't outliers.
+PRIOR_WORDS, PRIOR_CHARS = 20, 100
 
 
 def feature_matrix(texts: list[bytes]) -> np.ndarray:
-    s = ts.base_statistics(texts)
-    c, words, chars = s["classes"].astype(float), s["n_words"].astype(float), s["word_chars"].astype(float)
-    per_word, per_char = np.maximum(words, 1), np.maximum(chars, 1)
-    root = lambda x: np.sqrt(np.maximum(x, 0))
-    return np.column_stack(
-        (
-            np.log1p(words),
-            np.log1p(chars / per_word),
-            root(s["n_distinct"] / per_word),
-            root(s["n_repeat_words"] / per_word),
-            root(s["n_dup_lines"] / per_word),
-            root(c[:, ts.UPPER] / per_char),
-            root(c[:, ts.DIGIT] / per_char),
-            root(c[:, ts.SYMBOL] / per_char),
-            root(c[:, ts.MARK] / per_char),
-            root(c[:, ts.STOP] / per_char),
-            root(c[:, ts.QUOTE] / per_char),
-            root(c[:, ts.REST] / per_char),
-            np.log1p(chars / (1 + c[:, ts.LINE_FEED])),
-        )
-    )
+    w = split_words(texts)
+    c = ts.class_counts(texts, w).astype(float)
+    words, chars = np.diff(w.first).astype(float), c.sum(axis=1) - c[:, ts.MORE] - c[:, ts.SPACE] - c[:, ts.LINE_FEED]
+    distinct = ts.distinct_words(w, word_hashes(w, lower=False))
+    share = lambda kind: np.sqrt(c[:, kind] / (chars + PRIOR_CHARS))
+    shares = [share(kind) for kind in (ts.UPPER, ts.DIGIT, ts.SYMBOL, ts.MARK, ts.STOP, ts.QUOTE, ts.REST)]
+    return np.column_stack((np.log1p(words), np.log1p(chars / np.maximum(words, 1)), np.sqrt((distinct + PRIOR_WORDS) / (words + PRIOR_WORDS)), *shares, np.log1p(chars / (1 + c[:, ts.LINE_FEED]))))
 
 
 def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -56,7 +44,7 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     d = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = utf8(batch.column(1))
             for a, b in chunks(texts):
                 x = feature_matrix(texts[a:b])
@@ -136,9 +124,11 @@ def score(vectors: DataFrame, model: Model, cutoff: float = 0.7, id_column: str
 def accepted(docs: DataFrame, model: Model, cutoff: float = 0.7, text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose whole text scores ``cutoff`` or more."""
 
+    place = docs.columns.index(text_column)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch.column(batch.schema.get_field_index(text_column)))
+        for batch in small(batches, place):
+            texts = utf8(batch.column(place))
             for a, b in chunks(texts):
                 yield batch.slice(a, b - a).filter(pa.array(model.scores(feature_matrix(texts[a:b])) >= cutoff))
 

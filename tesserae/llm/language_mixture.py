@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.bpe import LETTER, character_classes
-from tesserae.llm.shared import clash_free
+from tesserae.llm.shared import clash_free, small
 from tesserae.llm.wordgrid import chunks, mix64
 
 #: Trigrams are hashed to 2 ** BITS cells.
@@ -88,7 +88,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_column: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), cells), np.int64)
-        for batch in batches:
+        for batch in small(batches, 0):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k, lang in enumerate(languages):
                 some = [t or "" for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -138,12 +138,14 @@ def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     odds = np.exp(np.maximum(per_word, -WORD_LIMIT))
     first = grams.text
     n = np.diff(first)
-    full, _ = _mixture(odds, np.ones((len(texts), width)), first)
+    full, most = _mixture(odds, np.ones((len(texts), width)), first)
     order = np.argsort(-full, axis=1, kind="stable")
-    todo = np.flatnonzero(has)
     single = np.zeros((len(texts), width))
     single[np.arange(len(texts)), order[:, 0]] = 1
     best_share, best = single.copy(), _sums(np.log(odds), first)[np.arange(len(texts)), order[:, 0]]
+    # no set is likelier than all languages together: where even that gains less than one more language costs, the
+    # single language stays (with a unit of slack, as the rounds end before they have settled)
+    todo = np.flatnonzero(has & (most + 1 > best + 0.5 * np.log(np.maximum(n, 1))))
     for size in range(2, width + 1):
         if not len(todo):
             break
@@ -164,7 +166,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     names = model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in chunks(texts):
                 shares, has = infer(model, texts[a:b])
@@ -183,9 +185,11 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 def accepted(docs: DataFrame, model: Model, least: float = LEAST_SHARE, text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one learned language has a share of ``least`` or more."""
 
+    place = docs.columns.index(text_column)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_column)).to_pylist()]
+        for batch in small(batches, place):
+            texts = [x or "" for x in batch.column(place).to_pylist()]
             for a, b in chunks(texts):
                 shares, has = infer(model, texts[a:b])
                 yield batch.slice(a, b - a).filter(pa.array(has & (shares.max(axis=1, initial=0.0) >= least)))

@@ -34,10 +34,10 @@ def composition_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def _bipartite(spark: SparkSession, d: str) -> DataFrame:
     """Supplier to part and back, costing the least line number at which the pair was sold."""
-    pairs = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("s"), (F.col("l_partkey") % 60).alias("p")).agg(F.min(F.col("l_linenumber")).cast("bigint").alias("c")).filter("(s + p) % 7 = 0")
-    there = pairs.select((F.col("s") * 2).alias("source"), (F.col("p") * 2 + 1).alias("target"), "c")
-    both = there.unionByName(there.select(F.col("target").alias("source"), F.col("source").alias("target"), "c"))
-    return both.select("source", "target", search.edge_cost([3, 1], ["c", "one"]).alias("cost")) if "one" in both.columns else both.withColumn("one", F.lit(1)).select("source", "target", search.edge_cost([3, 1], ["c", "one"]).alias("cost"))
+    pairs = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.min("l_linenumber").cast("bigint").alias("c"))
+    there = pairs.select((F.col("s") * 2).alias("source"), (F.col("p") * 2 + 1).alias("target"), "c", F.lit(1).alias("one"))
+    both = there.unionByName(there.select(F.col("target").alias("source"), F.col("source").alias("target"), "c", "one"))
+    return both.select("source", "target", search.edge_cost([3, 1], ["c", "one"]).alias("cost"))
 
 
 _GRAPH = """
@@ -52,7 +52,7 @@ def cheapest_states(spark: SparkSession, d: str) -> DataFrame:
     edges = _bipartite(spark, d)
     states = spark.range(1).select(F.col("id").alias("state"))
     goals = edges.select(F.col("source").alias("state")).filter("state % 2 = 0").distinct()
-    found = search.cheapest_paths(edges, states, goals, max_depth=4, paths=1 << 30)
+    found = search.cheapest_paths(edges, states, goals, max_depth=4, paths=1 << 30, max_labels=1 << 62)
     best = found.paths.groupBy("state").agg(F.min("cost").cast("bigint").alias("cost"))
     return best.orderBy("cost", "state").limit(10)
 

@@ -27,3 +27,31 @@ def test_joint_interpretations_of_all_orders(spark):
     want = [(o, home[s], s) for o, s in rows("lineitem: l_orderkey, l_suppkey") if o in buyer and s in home and nation.get(buyer[o]) == home[s]]
     assert len({o % 10 for o, _, _ in want}) == 10
     assert Counter(found(spark, "joint_interpretations")) == Counter(want)
+
+
+def test_supplier_and_part_graph_is_not_folded(spark, tmp_path):
+    """Keys beyond any fold; supplier 0 sells parts 7 and 61, and reaches 45 by part 61 only, 90 in four edges, 99 never."""
+    sold = [(0, 7, 2), (0, 7, 1), (0, 61, 3), (45, 61, 1), (45, 300, 1), (90, 300, 4), (90, 500, 1), (99, 500, 1)]
+    columns = "l_suppkey bigint, l_partkey bigint, l_linenumber int"
+    spark.createDataFrame(sold, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    d = str(tmp_path)
+    assert dict(found(spark, "response_scan", d)) == {0: 0, 15: 1, 123: 1, 90: 2, 601: 3, 180: 4}
+    assert [(s, int(c)) for s, c in found(spark, "cheapest_states", d)] == [(0, 0), (90, 10 + 4), (180, 14 + 4 + 13)]
+
+
+def test_supplier_and_part_graph_of_the_tables(spark):
+    cost: dict[tuple, int] = {}
+    for s, p, n in rows("lineitem: l_suppkey, l_partkey, l_linenumber"):
+        for edge in ((2 * s, 2 * p + 1), (2 * p + 1, 2 * s)):
+            cost[edge] = min(cost.get(edge, 1 << 60), 3 * n + 1)
+    best, depth = {0: 0}, {0: 0}
+    for level in range(1, 5):
+        new = dict(best)
+        for (a, b), c in cost.items():
+            if a in best:
+                new[b] = min(new.get(b, 1 << 60), best[a] + c)
+                depth.setdefault(b, level)
+        best = new
+    assert len(cost) == 2 * 1905
+    assert dict(found(spark, "response_scan")) == depth
+    assert [(s, int(c)) for s, c in found(spark, "cheapest_states")] == sorted(((s, c) for s, c in best.items() if s % 2 == 0), key=lambda x: x[::-1])[:10]

@@ -62,6 +62,30 @@ def next_frames(frames: DataFrame, turns: DataFrame) -> DataFrame:
     return frames.unionByName(fresh.withColumn("turn", F.col("turn").cast(frames.schema["turn"].dataType)))
 
 
+def forward_passes(obligations: DataFrame, enumerate_operations: Callable[[DataFrame], DataFrame], execute: Callable[[DataFrame], DataFrame], goal: str, key: list[str], layers: int = 16) -> tuple[DataFrame, DataFrame]:
+    """One forward pass a goal, all in step: the obligations after it, and (``goal``, ``state``) of every goal.
+
+    A goal stops by itself when it is complete, blocked or a layer resolves nothing of it; the others go on.
+    """
+    state = checkpointed(obligations)
+    stuck = checkpointed(obligations.select(goal).limit(0))
+    for layer in range(layers + 1):
+        done = guidance.completion(state, goal)
+        ongoing = checkpointed(done.filter(F.col("completion") == guidance.INCOMPLETE).select(goal).join(stuck, goal, "left_anti"))
+        if layer == layers or ongoing.isEmpty():
+            break
+        open_ = state.filter(F.col("disposition") == guidance.OPEN).join(ongoing, goal, "left_semi")
+        selected = guidance.best_operation(enumerate_operations(open_), key[0])
+        after = checkpointed(guidance.resolved(state, execute(selected), key))
+        left = after.filter(F.col("disposition") == guidance.OPEN).groupBy(goal).agg(F.count("*").alias("_left"))
+        idle = open_.groupBy(goal).agg(F.count("*").alias("_open")).join(left, goal).filter("_left >= _open").select(goal)
+        stuck = checkpointed(stuck.unionByName(idle))
+        state = after
+    ended = stuck.withColumn("_ended", F.lit(NO_OPERATION)).unionByName(ongoing.withColumn("_ended", F.lit(LAYER_LIMIT)))
+    told = F.when(F.col("completion") == guidance.BLOCKED, BLOCKED).when(F.col("completion") == guidance.COMPLETE, COMPLETE).otherwise(F.col("_ended"))
+    return state, done.join(ended, goal, "left").select(goal, told.alias("state"))
+
+
 class Step(NamedTuple):
     kind: str  # interpret, execute or emit
     name: str

@@ -85,13 +85,9 @@ def collation_order(spark: SparkSession, d: str) -> DataFrame:
 @registered("SELECT o_custkey AS goal, CASE WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'blocked' ELSE 'complete' END AS state FROM orders WHERE o_custkey < 20 GROUP BY ALL")
 def forward_passes(spark: SparkSession, d: str) -> DataFrame:
     """One pass a customer: open orders resolve to satisfied, partial ones can't be resolved and block."""
-    rows = table(spark, d, "orders").filter("o_custkey < 20").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("goal"), F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3).alias("disposition"), F.lit(True).alias("required"), F.lit(False).alias("unresolved_allowed"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("goal"), F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3).alias("disposition"), F.lit(True).alias("required"), F.lit(False).alias("unresolved_allowed"))
     offer = lambda open_: open_.select("item", F.lit(1).alias("operation"), F.lit(2).alias("kind"), F.lit(1).alias("reduction"), F.lit(0).alias("information"), F.lit(1).alias("cost"))
-    done = cognition.forward_pass(rows.filter("disposition != 3"), offer, lambda chosen: chosen.select("item", F.lit(2).alias("disposition")), ["item"])
-    if done.disposition != cognition.COMPLETE:
-        raise RuntimeError(done.disposition)
-    finished = done.obligations.unionByName(rows.filter("disposition = 3"), allowMissingColumns=True)
-    return finished.groupBy("goal").agg(F.when(F.max("disposition") == 3, "blocked").otherwise("complete").alias("state"))
+    return cognition.forward_passes(rows, offer, lambda chosen: chosen.select("item", F.lit(2).alias("disposition")), "goal", ["item"])[1]
 
 
 _CONDITIONS = "(VALUES (1, 30, 'retry'), (2, 20, 'resume'), (3, 10, 'reject'), (4, 40, 'replay'), (5, 50, 'none')) AS r(condition, priority, recovery)"

@@ -4,7 +4,9 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tesserae.operators import cognition
 from tesserae.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +57,30 @@ def test_supplier_and_part_graph_of_the_tables(spark):
     assert len(cost) == 2 * 1905
     assert dict(found(spark, "response_scan")) == depth
     assert [(s, int(c)) for s, c in found(spark, "cheapest_states")] == sorted(((s, c) for s, c in best.items() if s % 2 == 0), key=lambda x: x[::-1])[:10]
+
+
+def test_forward_passes_of_all_customers(spark):
+    states: dict[int, str] = {}
+    for goal, status in rows("orders: o_custkey, o_orderstatus"):
+        states[goal] = "blocked" if status == "P" or states.get(goal) == "blocked" else "complete"
+    assert len(states) > 100 and set(states.values()) == {"blocked", "complete"}
+    assert dict(found(spark, "forward_passes")) == states
+
+
+def test_goals_block_by_themselves_inside_the_pass(spark):
+    """Goal 1 completes in two layers, 2 is blocked and keeps its open item, 3 is never resolved, 4 blocks later, 5 has nothing to do."""
+    given = [(10, 1, 1), (11, 1, 1), (20, 2, 1), (21, 2, 3), (30, 3, 1), (40, 4, 1), (50, 5, 2)]
+    duties = spark.createDataFrame([(i, g, x, True, False) for i, g, x in given], "item int, goal int, disposition int, required boolean, unresolved_allowed boolean")
+    asked = []
+
+    def offer(open_):
+        asked.append({r["goal"] for r in open_.collect()})
+        some = open_.filter("item not in (11, 30)") if len(asked) == 1 else open_.filter("item != 30")
+        return some.select("item", F.lit(1).alias("operation"), F.lit(1).alias("kind"), F.lit(1).alias("reduction"), F.lit(0).alias("information"), F.lit(1).alias("cost"))
+
+    solve = lambda chosen: chosen.select("item", F.when(F.col("item") == 40, 3).otherwise(2).alias("disposition"))
+    left, ends = cognition.forward_passes(duties, offer, solve, "goal", ["item"])
+    assert dict(ends.collect()) == {1: "complete", 2: "blocked", 3: "no_operation", 4: "blocked", 5: "complete"}
+    assert dict(left.select("item", "disposition").collect()) == {10: 2, 11: 2, 20: 1, 21: 3, 30: 1, 40: 3, 50: 2}
+    assert asked == [{1, 3, 4}, {1}]
+    assert dict(cognition.forward_passes(duties, offer, solve, "goal", ["item"], layers=0)[1].collect())[1] == "layer_limit"

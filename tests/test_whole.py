@@ -1,5 +1,6 @@
 """Queries that must read all of their input, held against plain Python over the smallest tables or a small fixture."""
 
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -84,3 +85,22 @@ def test_goals_block_by_themselves_inside_the_pass(spark):
     assert dict(left.select("item", "disposition").collect()) == {10: 2, 11: 2, 20: 1, 21: 3, 30: 1, 40: 3, 50: 2}
     assert asked == [{1, 3, 4}, {1}]
     assert dict(cognition.forward_passes(duties, offer, solve, "goal", ["item"], layers=0)[1].collect())[1] == "layer_limit"
+
+
+def test_collation_order_gives_every_word(spark, tmp_path):
+    """Letters, then marks, then case, then the ignored punctuation; and more words than any page of a report."""
+    ordered = ["aa", "coop", "co-op", "Coop", "coôp", "Coôp", "coops", "Zebra", "zebras"]
+    many = [f"zz{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(1500)]
+    texts = [(1, "Zebra coop\tCoop  co-op coôp"), (2, "zebras Coôp coops\naa coop "), (3, " ".join(reversed(many))), (4, None), (5, "")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = found(spark, "collation_order", str(tmp_path))
+    assert [w for w, _ in got] == ordered + many
+    assert [k for _, k in got] == sorted(k for _, k in got)
+    assert dict(got)["coop"] != dict(got)["co-op"]
+    key = lambda *points: "".join(f"{ord(c):06x}" for c in points)
+    assert dict(got)["coôp"] == key(*"coop") + "!0" + "0003" + f"{0x302:06x}" + "!0" + "0000!0!"
+
+
+def test_collation_order_of_the_tables(spark):
+    want = {w for (text,) in rows("documents: text") for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w}
+    assert len(want) > 1000 and {w for w, _ in found(spark, "collation_order")} == want

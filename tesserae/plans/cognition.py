@@ -38,7 +38,7 @@ def verified_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     blank = rows.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")))
     stored = blank.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 21 == 0, "x").otherwise(F.col("c_mktsegment")))
-    return spark.range(1).select(F.lit(resolve.verified_count(blank.filter("c_custkey % 2 = 0"), stored)).cast("bigint").alias("verified"))
+    return spark.range(1).select(F.lit(resolve.verified_count(blank, stored)).cast("bigint").alias("verified"))
 
 
 _JOBS = """
@@ -115,5 +115,5 @@ def reverse_lookup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("witness"))
     prefix = F.substring("witness", 1, 32)
     lookup = docs.groupBy(prefix.alias("id"), "witness").agg(F.min("doc_id").alias("position"))
-    asked = docs.filter("doc_id % 5 = 0").select(prefix.alias("id"), F.when(F.col("doc_id") % 10 == 0, "stale").otherwise(F.col("witness")).alias("witness"))
+    asked = docs.select(prefix.alias("id"), F.when(F.col("doc_id") % 10 == 0, "stale").otherwise(F.col("witness")).alias("witness"))
     return asked.join(lookup, ["id", "witness"]).groupBy("id", "position").agg(F.count("*").alias("probes"))

@@ -1,5 +1,6 @@
 """Queries that must read all of their input, held against plain Python over the smallest tables or a small fixture."""
 
+import hashlib
 import re
 from collections import Counter
 from pathlib import Path
@@ -104,3 +105,19 @@ def test_collation_order_gives_every_word(spark, tmp_path):
 def test_collation_order_of_the_tables(spark):
     want = {w for (text,) in rows("documents: text") for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w}
     assert len(want) > 1000 and {w for w, _ in found(spark, "collation_order")} == want
+
+
+def test_every_incoming_row_is_looked_at(spark):
+    """Only the stored side or the witness is altered: customers by 3 and 21, probes by 10."""
+    asked = {c for (c,) in rows("orders: o_custkey")}
+    missing = {c for c in asked if c % 3 or c >= 150}
+    assert {c % 4 for c in missing} == {0, 1, 2, 3} and sorted(found(spark, "append_missing")) == sorted((c,) for c in missing)
+    customers = rows("customer: c_custkey")
+    assert found(spark, "verified_rows") == [(sum(c % 21 != 0 for (c,) in customers),)]
+    docs = [(d, hashlib.sha256(t.encode()).hexdigest()) for d, t in rows("documents: doc_id, text") if t is not None]
+    first: dict[str, int] = {}
+    for d, w in sorted(docs):
+        first.setdefault(w, d)
+    probes = Counter(w for d, w in docs if d % 10)
+    assert any(d % 5 for d, _ in docs)
+    assert sorted(found(spark, "reverse_lookup")) == sorted((w[:32], first[w], n) for w, n in probes.items())

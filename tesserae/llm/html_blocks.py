@@ -2,8 +2,9 @@
 
 Markup is stripped into a sequence of lines, one per block element.  A line weighs as many characters as its text
 has outside links, and nothing if half of it is links; lines in regions that are boilerplate by element or class weigh
-nothing.  Where a page has an ``article`` or ``main`` element, the lines inside weigh their length, all others nothing.  The weights are summed over sliding windows of lines; text
-is kept from each point where the sum surges over a threshold to the point where it dives to zero.
+nothing.  Lines inside an ``article`` or ``main`` element weigh several times as much.  The weights are summed over
+sliding windows of lines that don't reach over the edge of such an element; text is kept from each point where the sum
+surges over a threshold to the point where it dives to zero, lines made of links between them too.
 
 A null page counts as empty; an empty page has the empty text.  Truncated markup ends at the end of the page; a tag
 without its end is dropped.  Nothing is cut off long pages.
@@ -12,6 +13,7 @@ without its end is dropped.  Nothing is cut off long pages.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -21,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from tesserae.llm.shared import clash_free, small
 
-#: Lines in a window, and the weight at which text surges where no element marks the article.
-WINDOW, SURGE = 3, 86
+#: Lines in a window, the weight at which text surges, and how many times as much a line inside an article weighs.
+WINDOW, SURGE, INSIDE = 3, 86, 8
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -127,20 +129,20 @@ def main_text(page: str) -> str:
 
 
 def _between(lines: list[Line]) -> str:
-    lines = [x for x in lines if x.text]
-    within = any(x.inside and not x.dropped for x in lines)
-    weight = [len(x.text) * (x.inside and not x.dropped) for x in lines] if within else [x.weight for x in lines]
-    sums = [sum(weight[k : k + WINDOW]) for k in range(len(weight))]
-    surge = 1 if within else min(SURGE, max(sums, default=0) / 2)
+    regions = [list(region) for _, region in itertools.groupby((x for x in lines if x.text), key=lambda x: x.inside)]
+    weights = [[x.weight * (INSIDE if x.inside else 1) for x in region] for region in regions]
+    sums = [[sum(weight[k : k + WINDOW]) for k in range(len(weight))] for weight in weights]
+    surge = min(SURGE, max((s for ahead in sums for s in ahead), default=0) / 2)
     kept: list[str] = []
-    running = False
-    for line, own, ahead in zip(lines, weight, sums, strict=True):
-        if not running and own and ahead >= surge:
-            running = True
-        elif running and not ahead:
-            running = False
-        if running and not line.dropped and (line.inside or not within) and (own or within):
-            kept.append(line.text)
+    for region, weight, aheads in zip(regions, weights, sums, strict=True):
+        running = False
+        for line, own, ahead in zip(region, weight, aheads, strict=True):
+            if not running and own and ahead >= surge:
+                running = True
+            elif running and not ahead:
+                running = False
+            if running and not line.dropped:
+                kept.append(line.text)
     return "\n".join(kept)
 
 

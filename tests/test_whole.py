@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import functions as F
 
+from tesserae.llm import html_blocks
 from tesserae.operators import cognition
 from tesserae.plans import catalog
 
@@ -121,3 +122,13 @@ def test_every_incoming_row_is_looked_at(spark):
     probes = Counter(w for d, w in docs if d % 10)
     assert any(d % 5 for d, _ in docs)
     assert sorted(found(spark, "reverse_lookup")) == sorted((w[:32], first[w], n) for w, n in probes.items())
+
+
+def test_op4_block_sums_decide_around_articles():
+    """A teaser in an article element doesn't replace a body in a div, links between text stay, and a list of links in an article does not surge."""
+    long = ("Some long sentence of real prose goes here. " * 4).strip()
+    teaser = "<article><h2>Another story</h2><p>Read what else there is today in this short teaser.</p></article>"
+    page = f"<body><div><p>{long}</p><p><a href=1>a line of links only</a></p><p>{long} End.</p></div><nav>Menu</nav>{teaser}</body>"
+    assert html_blocks.main_text(page).split("\n") == [long, "a line of links only", f"{long} End.", "Another story", "Read what else there is today in this short teaser."]
+    links = "".join(f"<li><a href={k}>link {k}</a></li>" for k in range(6))
+    assert html_blocks.main_text(f"<article><ul>{links}</ul><p>{long}</p></article>") == long

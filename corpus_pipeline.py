@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those of which no learned language has a third or so."""
+    """Rejects documents without letters, those of which no learned language has a third or so, and those in none of them."""
     return language_mixture.accepted(docs, language_mixture.learn(docs.filter(remainder(5) != 0)))
 
 

@@ -3,7 +3,8 @@
 ``learn`` counts character trigrams of letters per language.  ``identify`` treats every word of a whole text as drawn
 from one of a set of languages: expectation-maximisation gives the languages' shares, and the set is the one with the
 best penalised likelihood (half the logarithm of the number of words for each further language).  The language of a
-document is the one with the largest share in the chosen set, and its score that share.
+document is the one with the largest share in the chosen set, and its score that share.  ``accepted`` also asks how
+well the mixture fits the text at all, as shares among the learned languages can't tell that a text is in none of them.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing could be learned.
 Ties go to the language that sorts first.  Rows that repeat, null ids and extra columns change nothing.
@@ -33,6 +34,11 @@ ROUNDS = 8
 WORD_LIMIT = 12.0
 #: A document of which no learned language has so large a share is rejected by ``accepted``.
 LEAST_SHARE = 0.35
+#: So does one whose trigrams are this much less likely (natural logarithm a trigram) under its mixture than the learned
+#: texts are under their languages, and beyond DEVIATIONS standard errors, neighbouring trigrams counting as one.
+LEAST_FIT, DEVIATIONS, NEIGHBOURS = 2.5, 4.0, 3
+#: A language learned from fewer trigrams doesn't tell what is usual; nothing is measured against it.
+ENOUGH_TRIGRAMS = 20_000
 
 _fold: np.ndarray | None = None
 
@@ -71,6 +77,8 @@ def trigrams(texts: list[str]) -> Trigrams:
 class Model(NamedTuple):
     languages: list[str]
     log_p: np.ndarray  # cell x language
+    usual: np.ndarray = np.zeros(0)  # mean of log_p over the learned trigrams of each language, -inf if they are few
+    spread: np.ndarray = np.zeros(0)  # and its variance
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> Model:
@@ -102,7 +110,11 @@ def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_column: str
     table = found.toArrow()  # languages x 2 ** BITS rows at most
     counts[np.asarray(table["cell"])] = np.asarray(table["n"])
     counts = counts.reshape(len(languages), cells).T + SMOOTHING
-    return Model(languages, np.log(counts / counts.sum(axis=0)))
+    log_p, seen = np.log(counts / counts.sum(axis=0)), counts - SMOOTHING
+    n = np.maximum(seen.sum(axis=0), 1)
+    usual = (seen * log_p).sum(axis=0) / n
+    spread = (seen * (log_p - usual) ** 2).sum(axis=0) / n
+    return Model(languages, log_p, np.where(n >= ENOUGH_TRIGRAMS, usual, -np.inf), spread)
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -128,21 +140,28 @@ def _mixture(odds: np.ndarray, allowed: np.ndarray, first: np.ndarray) -> tuple[
 def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Per text, the shares of all languages (0 outside the chosen set), and whether it has a letter."""
     grams = trigrams(texts)
+    return _infer(model, grams, _per_word(model, grams))
+
+
+def _per_word(model: Model, grams: Trigrams) -> np.ndarray:
+    """Log likelihoods, word x language."""
+    return np.add.reduceat(model.log_p[grams.cells], grams.word[:-1], axis=0) if len(grams.cells) else np.zeros((0, len(model.languages)))
+
+
+def _infer(model: Model, grams: Trigrams, per_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     width = len(model.languages)
     has = np.diff(grams.text) > 0
-    shares = np.zeros((len(texts), width))
+    shares = np.zeros((len(has), width))
     if not width or not has.any():
         return shares, has
-    per_word = np.add.reduceat(model.log_p[grams.cells], grams.word[:-1], axis=0)
-    per_word -= per_word.max(axis=1, keepdims=True)
-    odds = np.exp(np.maximum(per_word, -WORD_LIMIT))
+    odds = np.exp(np.maximum(per_word - per_word.max(axis=1, keepdims=True), -WORD_LIMIT))
     first = grams.text
     n = np.diff(first)
-    full, most = _mixture(odds, np.ones((len(texts), width)), first)
+    full, most = _mixture(odds, np.ones((len(has), width)), first)
     order = np.argsort(-full, axis=1, kind="stable")
-    single = np.zeros((len(texts), width))
-    single[np.arange(len(texts)), order[:, 0]] = 1
-    best_share, best = single.copy(), _sums(np.log(odds), first)[np.arange(len(texts)), order[:, 0]]
+    single = np.zeros((len(has), width))
+    single[np.arange(len(has)), order[:, 0]] = 1
+    best_share, best = single.copy(), _sums(np.log(odds), first)[np.arange(len(has)), order[:, 0]]
     # no set is likelier than all languages together: where even that gains less than one more language costs, the
     # single language stays (with a unit of slack, as the rounds end before they have settled)
     todo = np.flatnonzero(has & (most + 1 > best + 0.5 * np.log(np.maximum(n, 1))))
@@ -161,6 +180,22 @@ def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return shares, has
 
 
+def judge(model: Model, texts: list[str], least: float = LEAST_SHARE) -> np.ndarray:
+    """Whether each text is in a learned language, or a mixture with a share of ``least`` of one, by the test of fit too."""
+    grams = trigrams(texts)
+    per_word = _per_word(model, grams)
+    shares, has = _infer(model, grams, per_word)
+    good = has & (shares.max(axis=1, initial=0.0) >= least)
+    if not good.any():
+        return good
+    top = per_word.max(axis=1, keepdims=True)
+    mixed = (np.exp(per_word - top) * np.repeat(shares, np.diff(grams.text), axis=0)).sum(axis=1, keepdims=True)
+    n = np.maximum(np.diff(grams.word[grams.text]), 1)
+    fit = _sums(np.log(np.maximum(mixed, 1e-300)) + top, grams.text)[:, 0] / n
+    usual = np.where(shares > 0, shares * np.where(shares > 0, model.usual, 0), 0).sum(axis=1)
+    return good & (fit >= usual - LEAST_FIT - DEVIATIONS * np.sqrt(NEIGHBOURS * (shares @ model.spread) / n))
+
+
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column``, ``lang_pred``, ``score`` and ``shares map<string,double>`` (the chosen set) per row."""
     names = model.languages
@@ -183,7 +218,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 
 
 def accepted(docs: DataFrame, model: Model, least: float = LEAST_SHARE, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one learned language has a share of ``least`` or more."""
+    """The rows of ``docs``, with all their columns, that are in learned languages: see ``judge``."""
 
     place = docs.columns.index(text_column)
 
@@ -191,7 +226,6 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST_SHARE, text_col
         for batch in small(batches, place):
             texts = [x or "" for x in batch.column(place).to_pylist()]
             for a, b in chunks(texts):
-                shares, has = infer(model, texts[a:b])
-                yield batch.slice(a, b - a).filter(pa.array(has & (shares.max(axis=1, initial=0.0) >= least)))
+                yield batch.slice(a, b - a).filter(pa.array(judge(model, texts[a:b], least)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,7 +1,7 @@
 """Byte-level byte-pair encoding by numpy matrices, and decoding.
 
 ``Encoder`` cuts whole batches of texts into the matches of the usual byte-level pattern by character classes,
-looks each piece up by a 64-bit hash in a bounded cache, and encodes the pieces that it misses with ``MatrixBPE``:
+looks each piece up by its bytes in a bounded cache, and encodes the pieces that it misses with ``MatrixBPE``:
 pieces are put into length buckets of padded matrices; in every round each row merges its leftmost pair of minimum
 rank, found through a hashed pair table, rows close up over the merged place, and finished rows leave the matrix.
 """
@@ -11,24 +11,37 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Sequence
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 
-from tesserae.llm.wordgrid import Words, mix64, word_hashes
+from tesserae.llm.wordgrid import mix64
 
 #: The pattern whose matches are encoded separately.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, OTHER, WHITE = 0, 1, 2, 3
-#: Pieces longer than this many bytes are merged with a heap instead of in a matrix.
-LONG_PIECE = 256
+#: Pieces longer than this many bytes are merged with a heap instead of in a matrix, in the same order: a row of n bytes
+#: takes up to n rounds over its whole width.  The README has figures.
+LONG_PIECE = 1024
 
 _classes: np.ndarray | None = None
 
 
+class Pieces(NamedTuple):
+    """Byte ranges of a buffer; text ``d`` has those at ``first[d]:first[d + 1]``."""
+
+    buffer: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+
+
 def character_classes() -> np.ndarray:
     """The class of every code point, made once in a process."""
     global _classes
@@ -49,7 +62,7 @@ def ragged(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return pool[np.arange(total) + np.repeat(start - before, length)]
 
 
-def cut_pieces(texts: Sequence[str]) -> tuple[Words, np.ndarray]:
+def cut_pieces(texts: Sequence[str]) -> Pieces:
     """The pattern's matches in all ``texts`` as byte ranges of one buffer.
 
     A run of one character class is one match, with these exceptions: a single U+0020 before a run of another
@@ -66,7 +79,7 @@ def cut_pieces(texts: Sequence[str]) -> tuple[Words, np.ndarray]:
     buffer = np.frombuffer(whole.encode(), np.uint8)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(buffer, none, none, np.zeros(len(texts) + 1, np.int64), at[border]), none
+        return Pieces(buffer, none, none, np.zeros(len(texts) + 1, np.int64))
     kind = character_classes()[points]
     opens = np.zeros(n + 1, bool)  # texts begin here
     opens[border] = True
@@ -95,7 +108,7 @@ def cut_pieces(texts: Sequence[str]) -> tuple[Words, np.ndarray]:
     first = np.flatnonzero(start)
     begin = at[first]
     end = np.concatenate((begin[1:], at[-1:]))
-    return Words(buffer, begin, end, np.searchsorted(first, border), at[border]), chars
+    return Pieces(buffer, begin, end, np.searchsorted(first, border))
 
 
 class MatrixBPE:
@@ -264,54 +277,102 @@ def json_ranks(path: str) -> dict[bytes, int]:
     return {bytes(spelled[c] for c in token): vocabulary[token] for token in [*spelled, *merged]}
 
 
+class _Slots(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
 class Encoder:
-    """Encodes batches of texts through ``pieces``, keeping pieces it has seen in a bounded cache.
+    """Encodes batches of texts through ``pieces``, keeping the ids of pieces it has seen.
 
-    The cache is a direct-mapped table of ``2 ** bits`` hashes over a pool of ids that starts anew when it is full,
-    so that a worker's memory doesn't grow with its input.
+    Pieces are known by their bytes.  After ``limit`` of them, or ``pool`` ids, the cache starts anew, so that a
+    worker's memory doesn't grow with its input.
     """
 
-    def __init__(self, pieces: MatrixBPE, bits: int = 20, pool: int = 3_000_000):
-        self.pieces, self.bits, self.limit = pieces, bits, pool
+    def __init__(self, pieces: MatrixBPE, limit: int = 300_000, pool: int = 3_000_000):
+        self.pieces, self.limit, self.pool_limit = pieces, limit, pool
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes = np.zeros(1 << self.bits, np.uint64)
-        self.start = np.zeros(1 << self.bits, np.int64)
-        self.length = np.zeros(1 << self.bits, np.int32)
+        self.slots = _Slots()
+        self.start = np.zeros(1 << 10, np.int64)
+        self.length = np.zeros(1 << 10, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def _keep(self, ids: np.ndarray) -> int:
+    def _keep(self, known: int, ids: np.ndarray, count: np.ndarray) -> None:
+        while known + len(count) > len(self.start):
+            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
         while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
-        at = self.used
-        self.pool[at : at + len(ids)] = ids
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.start[known : known + len(count)] = self.used + np.cumsum(count) - count
+        self.length[known : known + len(count)] = count
+        self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        return at
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, and where each text's ids begin (with the end)."""
-        words, _ = cut_pieces(texts)
-        if self.used > self.limit:
+        cut = cut_pieces(texts)
+        if self.used > self.pool_limit or len(self.slots) > self.limit:
             self._forget()
-        h = word_hashes(words, lower=False) | np.uint64(1)
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        start, length = self.start[slot], self.length[slot].astype(np.int64)
-        miss = np.flatnonzero(self.hashes[slot] != h)
-        if len(miss):
-            new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            some = miss[first]
-            ids, count = self.pieces.encode(words.buffer, words.start[some], words.end[some])
-            place = self._keep(ids) + np.cumsum(count) - count
-            start[miss], length[miss] = place[back], count[back]
-            where = slot[some]
-            self.hashes[where], self.start[where], self.length[where] = new, place, count
+        known, raw = len(self.slots), cut.buffer.tobytes()
+        slot = np.fromiter(map(self.slots.__getitem__, map(raw.__getitem__, map(slice, cut.start.tolist(), cut.end.tolist()))), np.int64, len(cut.start))
+        new = list(islice(self.slots, known, None))
+        if new:
+            end = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+            self._keep(known, *self.pieces.encode(np.frombuffer(b"".join(new), np.uint8), np.concatenate(([0], end[:-1])), end))
+        length = self.length[slot]
         total = np.concatenate(([0], np.cumsum(length)))
-        return ragged(self.pool, start, length), total[words.first]
+        return ragged(self.pool, self.start[slot], length), total[cut.first]
+
+
+class Specials(NamedTuple):
+    """Tokens that a vocabulary file cuts out of texts before anything else: their pattern, and their ids."""
+
+    pattern: re.Pattern[str] | None
+    ids: dict[str, int]
+
+    @classmethod
+    def of(cls, path: str) -> Specials:
+        """Those of a tokenizers JSON file; files of ranks have none."""
+        if not path.endswith(".json"):
+            return cls(None, {})
+        with open(path, encoding="utf-8") as file:
+            added = json.load(file).get("added_tokens") or []
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added):
+            raise ValueError(f"{path}: added tokens with strip, word or normalisation rules aren't supported")
+        ids = {t["content"]: t["id"] for t in added}
+        longest_first = sorted(ids, key=len, reverse=True)
+        return cls(re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if ids else None, ids)
+
+
+def encode_with_ends(encoder: Encoder, specials: Specials, texts: Sequence[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each text, those of special tokens in it included, followed by ``end_id``; and where each text's begin."""
+    parts: list[str] = []
+    after: list[int] = []  # the id that follows each part
+    held = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        cut = specials.pattern.split(text) if specials.pattern is not None else [text]
+        parts += cut[::2]
+        after += [*(specials.ids[x] for x in cut[1::2]), end_id]
+        held[k] = len(after)
+    ids, first = encoder.encode(parts)
+    bounds = first + np.arange(len(first))  # every part has one more
+    return np.insert(ids, first[1:], after), bounds[np.concatenate(([0], held))]
 
 
 _encoders: dict[str, Encoder] = {}
+_specials: dict[str, Specials] = {}
+
+
+def specials_of(path: str) -> Specials:
+    """This worker process's special tokens of a vocabulary file."""
+    if path not in _specials:
+        _specials[path] = Specials.of(path)
+    return _specials[path]
 
 
 def encoder_of(path: str) -> Encoder:

@@ -4,7 +4,9 @@ Tasks store each distinct payload of a shard once, as a greyscale PNG of 8-bit s
 digest; rows carry shard, digest, offset and length.  ``with_metadata`` fills width, height and sample columns from
 range reads of the 33 header bytes alone; ``read_back`` reads the whole stored object back.  A shard's name is
 the digest of its bytes, so a task that runs again writes the same object.  A null text counts as empty; an empty
-payload is one line of zeros.  Equal texts have equal digests wherever they are stored.
+payload is one line of zeros.  Equal texts have equal digests wherever they are stored; a copy is stored once in each
+shard that needs it.  Null ids stay null, further columns aren't read, rows that repeat give rows that repeat, and an
+empty table gives no rows and no shards.
 """
 
 from __future__ import annotations
@@ -87,9 +89,9 @@ def store_payloads(docs: DataFrame, folder: str, id_column: str = "doc_id", text
         size = 0
 
         def close() -> pa.RecordBatch:
-            name = store.write_named({".tar": b"".join([*parts, bytes(1024)])})
+            name = store.write(b"".join([*parts, bytes(1024)]), ".tar")
             n, digest, offset, length = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array([f"{name}.tar"] * len(n), pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["id", "n_bytes", "payload_sha256", "shard", "offset", "length"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array([name] * len(n), pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["id", "n_bytes", "payload_sha256", "shard", "offset", "length"])
 
         for batch in small(batches):
             begin = 0

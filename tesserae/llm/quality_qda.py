@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import textstats as ts
 from tesserae.llm.shared import clash_free, small, utf8
-from tesserae.llm.wordgrid import chunks, split_words, word_hashes
+from tesserae.llm.wordgrid import chunks, split_words
 
 FEATURES = ("words", "word_length", "distinct", "upper", "digits", "symbols", "marks", "stops", "quotes", "rest", "line_length")
 #: Words and characters that are added to a text when shares are taken, so that very short texts aren't outliers.
@@ -31,9 +31,9 @@ PRIOR_WORDS, PRIOR_CHARS = 20, 100
 
 def feature_matrix(texts: list[bytes]) -> np.ndarray:
     w = split_words(texts)
-    c = ts.class_counts(texts, w).astype(float)
+    c = ts.class_counts(texts).astype(float)
     words, chars = np.diff(w.first).astype(float), c.sum(axis=1) - c[:, ts.MORE] - c[:, ts.SPACE] - c[:, ts.LINE_FEED]
-    distinct = ts.distinct_words(w, word_hashes(w, lower=False))
+    distinct = ts.distinct_words(w)
     share = lambda kind: np.sqrt(c[:, kind] / (chars + PRIOR_CHARS))
     shares = [share(kind) for kind in (ts.UPPER, ts.DIGIT, ts.SYMBOL, ts.MARK, ts.STOP, ts.QUOTE, ts.REST)]
     return np.column_stack((np.log1p(words), np.log1p(chars / np.maximum(words, 1)), np.sqrt((distinct + PRIOR_WORDS) / (words + PRIOR_WORDS)), *shares, np.log1p(chars / (1 + c[:, ts.LINE_FEED]))))

@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder is set as checkpoint directory and used.
+    Only where that is unset and all runs on this machine, as in local tests, a temporary folder is set and used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         context = spark.sparkContext
         folder = context.getCheckpointDir()
         if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="tesserae-")
             context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -43,21 +45,30 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clear_folders(spark: SparkSession) -> None:
-    """Deletes all folders that this process made, once no frame that reads them is needed any more."""
+def folders_made() -> int:
+    """How many folders this process has made, as a mark for ``clear_folders``."""
+    return len(_made)
+
+
+def clear_folders(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Deletes the folders made since a mark, but for ``keep``, once no frame that reads them is needed any more."""
     paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _made:
-        path = paths(_made.pop())
+    gone = [p for p in _made[since:] if p != keep]
+    _made[since:] = [p for p in _made[since:] if p == keep]
+    for name in gone:
+        path = paths(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends there, and a lost executor
     costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_folder(spark, name)
+    return written_to(df, fresh_folder(df.sparkSession, name))
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

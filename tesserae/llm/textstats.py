@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from tesserae.llm.wordgrid import _BASE, SHINGLE, Words, mix64, split_words, window_hashes, word_hashes
+from tesserae.llm.wordgrid import SHINGLE, Words, paired, split_words, window_numbers, window_starts
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -23,47 +23,33 @@ _CLASS[list(b".,;:")], _CLASS[list(b"!?")], _CLASS[list(b"\"'()[]{}")] = STOP, M
 _CLASS[0xC0:], _CLASS[0x80:0xC0] = LEAD, MORE
 
 
-def class_counts(texts: Sequence[bytes], w: Words) -> np.ndarray:
+def class_counts(texts: Sequence[bytes]) -> np.ndarray:
     """A row of byte counts by class for each text."""
     n = len(texts)
-    if not n:
-        return np.zeros((0, N_CLASSES), np.int64)
-    key = np.repeat(np.arange(n) * N_CLASSES, np.diff(w.offset)) + _CLASS[w.buffer]
-    counts = np.bincount(key, minlength=n * N_CLASSES).reshape(n, N_CLASSES)
-    counts[:, LINE_FEED] -= 1  # the separator after each text
-    return counts
+    size = np.fromiter(map(len, texts), np.int64, n)
+    key = np.repeat(np.arange(n) * N_CLASSES, size) + _CLASS[np.frombuffer(b"".join(texts), np.uint8)]
+    return np.bincount(key, minlength=n * N_CLASSES).reshape(n, N_CLASSES)
 
 
-def repeated_words(w: Words, h: np.ndarray) -> np.ndarray:
+def repeated_words(w: Words) -> np.ndarray:
     """Per text, the words inside windows of ``SHINGLE`` words that occur there twice or more."""
     per = np.diff(w.first)
-    out = np.zeros(len(per), np.int64)
-    windows = window_hashes(h)
-    if not len(windows):
-        return out
-    doc = np.repeat(np.arange(len(per)), per)
-    inside = np.flatnonzero(doc[: len(windows)] == doc[SHINGLE - 1 :])
-    keys = windows[inside] + mix64(doc[inside].astype(np.uint64) * np.uint64(_BASE) + np.uint64(7))
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    same = ordered[1:] == ordered[:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    at = inside[twice]
-    step = np.zeros(len(h) + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + SHINGLE, -1)
+    at = window_starts(w)
+    text = w.text
+    if not len(at):
+        return np.zeros(len(per), np.int64)
+    number = paired(window_numbers(w, at), text[at])
+    repeated = at[np.bincount(number)[number] > 1]
+    step = np.zeros(len(w.ids) + 1, np.int64)
+    np.add.at(step, repeated, 1)
+    np.add.at(step, repeated + SHINGLE, -1)
     covered = np.cumsum(step[:-1]) > 0
-    return np.bincount(doc[covered], minlength=len(per))
+    return np.bincount(text[covered], minlength=len(per))
 
 
-def distinct_words(w: Words, h: np.ndarray) -> np.ndarray:
-    per = np.diff(w.first)
-    doc = np.repeat(np.arange(len(per)), per)
-    keys = h + mix64(doc.astype(np.uint64) * np.uint64(_BASE) + np.uint64(11))
-    _, first = np.unique(keys, return_index=True)
-    return np.bincount(doc[first], minlength=len(per))
+def distinct_words(w: Words) -> np.ndarray:
+    n = len(w.first) - 1
+    return np.bincount(np.unique(w.ids * n + w.text) % n, minlength=n) if n else np.zeros(0, np.int64)
 
 
 def repeated_lines(text: bytes) -> int:
@@ -79,16 +65,13 @@ def repeated_lines(text: bytes) -> int:
 
 
 def base_statistics(texts: Sequence[bytes]) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; also the class counts and the distinct words."""
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     w = split_words(texts)
-    h = word_hashes(w, lower=False)
-    counts = class_counts(texts, w)
+    counts = class_counts(texts)
     return {
         "n_words": np.diff(w.first),
         "word_chars": counts.sum(axis=1) - counts[:, MORE] - counts[:, SPACE] - counts[:, LINE_FEED],
         "n_symbols": counts[:, SYMBOL],
         "n_dup_lines": np.fromiter(map(repeated_lines, texts), np.int64, len(texts)),
-        "n_repeat_words": repeated_words(w, h),
-        "n_distinct": distinct_words(w, h),
-        "classes": counts,
+        "n_repeat_words": repeated_words(w),
     }

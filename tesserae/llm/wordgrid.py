@@ -1,28 +1,24 @@
-"""Vectorised word and shingle hashing over batches of texts.
+"""Words and word shingles over batches of texts.
 
 A *word* is a maximal run of bytes other than space, \\t, \\n, \\v, \\f and \\r.  These six are ASCII, so words can
-be cut on UTF-8 bytes.  Everything here works on one concatenated byte buffer, so the cost per text is constant
-and the cost per byte is a few numpy passes.
+be cut on UTF-8 bytes.  Inside a batch words are numbered by their bytes, and shingles by the numbers of their words,
+so equality there never rests on a hash.  Where shingles must be known across batches, as for minima, their values
+come from a keyed cryptographic digest of each word, chained so that no place of a word can be traded for another.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 
 #: Words in one shingle.
 SHINGLE = 5
-
-_WHITE = np.zeros(256, dtype=bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: The key of word digests: any bytes do, as long as all tasks of a job use the same.
+KEY = b"tesserae shingles"
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -35,94 +31,117 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: One random 64-bit value per byte value.
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_POSITION = mix64(np.arange(1001, 1001 + SHINGLE, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+class Words(NamedTuple):
+    """The words of a batch: text ``d`` has those at ``first[d]:first[d + 1]``; ``distinct[ids[i]]`` is word ``i``."""
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    ids: np.ndarray
+    first: np.ndarray
+    distinct: list[bytes]
 
+    @property
+    def text(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse; kept for the next batch."""
-    if len(_powers[0]) < n:
-        for k, factor in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, np.uint64(factor))
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
 
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
 
-class Words(NamedTuple):
-    """Words of a batch: start and end in ``buffer``, ``first[d]:first[d + 1]`` are those of text ``d``."""
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number
 
-    buffer: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    first: np.ndarray
-    offset: np.ndarray  # of each text in the buffer, and the end
-
-
-def split_words(texts: Sequence[bytes]) -> Words:
-    size = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    offset = np.concatenate(([0], np.cumsum(size)))
-    buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8) if texts else np.zeros(0, np.uint8)
-    white = _WHITE[buffer]
-    edge = np.flatnonzero(white[1:] != white[:-1]) + 1
-    if len(buffer) and not white[0]:
-        edge = np.concatenate(([0], edge))
-    start, end = edge[0::2], edge[1::2]  # the buffer ends in white space, so the edges pair up
-    return Words(buffer, start, end, np.searchsorted(start, offset), offset)
-
-
-def word_hashes(w: Words, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word that depends on its bytes only (of the lower-cased A-Z if ``lower``)."""
-    if not len(w.start):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(w.buffer))
-    value = _BYTE_VALUE[_LOWER[w.buffer] if lower else w.buffer]
-    value *= power[: len(value)]
-    prefix = np.cumsum(value, dtype=np.uint64)
-    before = np.where(w.start > 0, prefix[w.start - 1], np.uint64(0))
-    h = (prefix[w.end - 1] - before) * inverse[w.start]
-    return mix64(h + (w.end - w.start).astype(np.uint64) * np.uint64(_BASE))
-
-
-def window_hashes(h: np.ndarray) -> np.ndarray:
-    """Hashes of all windows of ``SHINGLE`` consecutive word hashes, across text borders too."""
-    n = len(h) - SHINGLE + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        total += h[k : k + n] * _POSITION[k]
-    return mix64(total)
-
-
-def shingle_sets(texts: Sequence[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text.
-
-    A text of fewer words than a shingle has its whole word sequence as its one shingle, with a hash of its own
-    kind; a text without words has the empty set.
+
+def split_words(texts: Sequence[bytes], lower: bool = False) -> Words:
+    """Words of all texts, of which A-Z become a-z if ``lower``."""
+    parts = [t.lower().split() if lower else t.split() for t in texts]  # bytes: ASCII letters and white space only
+    first = np.cumsum([0, *map(len, parts)])
+    numbers = _Numbers()
+    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(first[-1]))
+    return Words(ids, first, list(numbers))
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of small numbers, from 0 on; equal pairs have equal numbers."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
+def window_starts(w: Words) -> np.ndarray:
+    """The first words of all windows of ``SHINGLE`` words that lie inside one text."""
+    text = w.text
+    return np.flatnonzero(text[: len(text) - SHINGLE + 1] == text[SHINGLE - 1 :]) if len(text) >= SHINGLE else np.zeros(0, np.int64)
+
+
+def window_numbers(w: Words, at: np.ndarray) -> np.ndarray:
+    """A number for each window that begins at a place of ``at``, equal only where all words are equal."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    number = w.ids[at]
+    for k in range(1, SHINGLE):
+        number = paired(number, w.ids[at + k])
+    return number
+
+
+def shingle_numbers(texts: Sequence[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text, as numbers that hold inside this batch.
+
+    A text of fewer words than a shingle has its whole word sequence as its one shingle; a text without words has none.
     """
-    w = split_words(texts)
-    h = word_hashes(w, lower=True)
-    windows = window_hashes(h)
-    out = []
+    w = split_words(texts, lower=True)
+    at = window_starts(w)
+    text, number = w.text[at], window_numbers(w, at)
+    base = int(number.max(initial=0)) + 1
+    cells = np.unique(text * base + number)
+    bounds = np.searchsorted(cells, np.arange(len(texts) + 1) * base)
+    out = [cells[a:b] % base for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    short: dict[bytes, int] = _Numbers()
+    for d in np.flatnonzero((np.diff(w.first) > 0) & (np.diff(w.first) < SHINGLE)).tolist():
+        out[d] = np.array([base + short[w.ids[w.first[d] : w.first[d + 1]].tobytes()]])
+    return out
+
+
+def word_values(distinct: Sequence[bytes]) -> np.ndarray:
+    """64 bits of each word's keyed digest."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8, key=KEY).digest() for x in distinct), "<u8").astype(np.uint64)
+
+
+def _chained(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        out = mix64(out + values[at + k])
+    return out
+
+
+def shingle_values(texts: Sequence[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct shingles of each text as 64-bit values that hold everywhere, and how many there are.
+
+    The count is exact: wherever values are equal in a text the words are compared, and if they ever differ the text's
+    shingles are counted by their words.
+    """
+    w = split_words(texts, lower=True)
+    values = word_values(w.distinct)[w.ids] if len(w.ids) else np.zeros(0, np.uint64)
+    at = window_starts(w)
+    chained = _chained(values, at, SHINGLE)
+    bounds = np.searchsorted(w.text[at], np.arange(len(texts) + 1))
+    out, count = [], np.zeros(len(texts), np.int64)
     for d in range(len(texts)):
-        a, b = w.first[d], w.first[d + 1]
-        if b - a >= SHINGLE:
-            s = np.sort(windows[a : b - SHINGLE + 1])
-            keep = np.empty(len(s), bool)
-            keep[0] = True
-            np.not_equal(s[1:], s[:-1], out=keep[1:])
-            out.append(s[keep])
-        elif b > a:
-            total = np.uint64(int(b - a) * 0xD6E8FEB86659FD93 & _MASK)
-            short = (h[a:b] * _POSITION[: b - a]).sum(dtype=np.uint64) ^ total
-            out.append(mix64(np.array([short], np.uint64)))
+        a, b = bounds[d], bounds[d + 1]
+        if b > a:
+            order = np.argsort(chained[a:b], kind="stable")
+            ordered = chained[a:b][order]
+            fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+            out.append(ordered[fresh])
+            count[d] = len(out[-1])
+            again = np.flatnonzero(~fresh)
+            here, before = at[a:b][order[again]], at[a:b][order[again - 1]]
+            if any((w.ids[here + k] != w.ids[before + k]).any() for k in range(SHINGLE)):
+                count[d] = len(np.unique(window_numbers(w, at[a:b])))
+        elif w.first[d + 1] > w.first[d]:
+            out.append(_chained(values, w.first[d : d + 1], int(w.first[d + 1] - w.first[d])))
+            count[d] = 1
         else:
             out.append(np.zeros(0, np.uint64))
-    return out
+    return out, count
 
 
 def chunks(texts: Sequence[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:

@@ -71,7 +71,7 @@ def test_pieces_equal_the_pattern():
     rng = random.Random(1)
     alphabet = list("ab'strelvmd  \n\t é1٣漢!?'’ 　𝒳\x1c\x85")
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    w, _ = cut_pieces(texts)
+    w = cut_pieces(texts)
     raw = w.buffer.tobytes()
     pattern = regex.compile(public_tokenizers.PATTERN)
     for k, text in enumerate(texts):
@@ -108,7 +108,6 @@ def document_ids():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     return [(i, library.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in odd_rows()]
 
 
@@ -176,7 +175,7 @@ def test_op1_reads_back_what_it_wrote(spark, docs, none):
     for r in rows:
         matrix = np.frombuffer(store.read(r["shard"] + ".ids"), "<u2").reshape(-1, 1024)
         line = matrix[r["row"]]
-        assert (line[r["n_tokens"] :] == 50256).all() and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"]
+        assert (line[r["n_tokens"] :] == 50257).all() and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"]
         assert r["position_resets"] == r["cu_seqlens"][:-1] and r["ids_crc32"] == zlib.crc32(line[: r["n_tokens"]].astype("<u4").tobytes())
         for doc, start, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
             assert line[a:b].tolist() in [ids[start : start + b - a] for ids in ids_of[doc]]
@@ -192,6 +191,66 @@ def test_op1_shards_of_equal_ids_but_other_segments_differ(spark):
     assert a[0]["ids_crc32"] == b[0]["ids_crc32"] and a[0]["shard"] != b[0]["shard"] and (a[0]["cu_seqlens"], b[0]["cu_seqlens"]) == ([0, 2], [0, 1, 2])
 
 
+def thue_morse():
+    """A word of 1,024 letters and its complement: sums over places with powers of any odd base can't tell them apart."""
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_thue_morse_words_differ_everywhere(spark):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse()
+    rows = [(1, one), (2, two), (3, f"w x y z {one} w x y z {two}"), (4, f"{one} {two}")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    got = {r["doc_id"]: r for r in byte_bpe.digests(table, RANKS).collect()}
+    assert all(got[i]["ids_sha256"] == hashlib.sha256(np.array(library.encode_ordinary(t), "<u4").tobytes()).hexdigest() and got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in rows)
+    json_library = Tokenizer.from_file(JSON)
+    ids = {i: [*json_library.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
+    for p in packing.pack(table, JSON).collect():
+        assert p["ids_crc32"] == zlib.crc32(np.array(ids[p["doc_id"]][p["start"] : p["start"] + p["length"]], "<u4").tobytes())
+    folder = fresh_folder(spark, "test")
+    for r in packing.write_packed(table, folder, JSON).collect():
+        line = np.frombuffer(Store(folder).read(r["shard"] + ".ids"), "<u2").reshape(-1, 1024)[r["row"]]
+        for doc, start, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
+            assert line[a:b].tolist() == ids[doc][start : start + b - a]
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(table).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    stats = {r["doc_id"]: r for r in quality_rules.statistics(table).collect()}
+    assert stats[3]["n_repeat_words"] == 0 and tuple(stats[3][c] for c in quality_rules.BASE) == plain_statistics(rows[2][1])
+    assert textstats.distinct_words(wordgrid.split_words([rows[3][1].encode()])).tolist() == [2]
+
+
+def test_special_tokens_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "x<|endoftext|", " <|endoftext|>\n\n<|endoftext|>y", ""]
+    library = Tokenizer.from_file(JSON)
+    for p in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), JSON).collect():
+        ids = [*library.encode(texts[p["doc_id"]], add_special_tokens=False).ids, 0]
+        assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_groups_share_shards_up_to_their_size(spark):
+    rows = [(k, "some words here " * (20 + 12 * k)) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    for size, least, most in ((1, 3, 60), (10**9, 1, 1)):
+        folder = fresh_folder(spark, "test")
+        got = packing.write_packed(table, folder, JSON, group_tokens=3000, shard_bytes=size).collect()
+        assert least <= len({r["shard"] for r in got}) <= most
+        tokens = collections.Counter()
+        for r in got:
+            line = np.frombuffer(Store(folder).read(r["shard"] + ".ids"), "<u2").reshape(-1, 1024)[r["row"]]
+            assert r["ids_crc32"] == zlib.crc32(line[: r["n_tokens"]].astype("<u4").tobytes()) and (line[r["n_tokens"] :] == 50257).all()
+            for doc, a, b in zip(r["doc_ids"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
+                tokens[doc] += b - a
+        assert tokens == {p["doc_id"]: p["doc_tokens"] for p in packing.pack(table, JSON).collect()}
+        assert len({r["sequence_id"] for r in got}) == len(got)
+
+
 # --- media ----------------------------------------------------------------------------------------------------------
 
 
@@ -427,8 +486,33 @@ def test_op7_large_group_of_near_copies(spark, monkeypatch):
     assert got == {i: c for i, _, c in plain_components(rows)}
 
 
+def test_op7_long_texts_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 9000)
+    monkeypatch.setattr(near_dup, "PIVOT_SHINGLES", 9000)
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abcdefghiklmnop") for _ in range(6)) for _ in range(3000)]
+    base = [rng.choice(pool) for _ in range(3000)]
+    rows = []
+    for k in range(40):
+        words = list(base)
+        for _ in range(rng.randint(0, 130)):
+            words[rng.randrange(3000)] = rng.choice(pool)
+        rows.append((100 + k, " ".join(words[: rng.choice((3000, 3000, 2400, 1500))])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: (n, c) for i, n, c in plain_components(rows)}
+
+
+def test_op7_survivors_are_told_by_id_and_text(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "x"), (2, text.upper(), "y"), (2, "quite another text that has no copy at all here", "y"), (3, "a row that occurs twice in this table of rows", "z"), (3, "a row that occurs twice in this table of rows", "z"), (None, text, "n"), (4, "", "e"), (5, None, "e"), (5, "", "f")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, n string")
+    got = multiset(near_dup.survivors(table).collect())
+    assert got == multiset([rows[0], rows[2], rows[3], rows[5], rows[6], (5, None, "e")]) or got == multiset([rows[0], rows[2], rows[3], rows[5], rows[6], (5, "", "f")])
+    assert near_dup.survivors(table.limit(0)).count() == 0
+
+
 def test_signatures_estimate_similarity(spark):
-    a, b = wordgrid.shingle_sets([" ".join(map(str, range(1000))).encode(), " ".join(map(str, range(100, 1000))).encode()])
+    (a, b), _ = wordgrid.shingle_values([" ".join(map(str, range(1000))).encode(), " ".join(map(str, range(100, 1000))).encode()])
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     bits = near_dup.packed_bits(np.array([near_dup.minima(a), near_dup.minima(b)])).tolist()
     one = spark.createDataFrame([tuple(bits)], "a array<bigint>, b array<bigint>").select(near_dup.estimate(F.col("a"), F.col("b")), near_dup.estimate(F.col("a"), F.col("a"))).first()
@@ -463,8 +547,16 @@ def test_components(spark, one_task):
     assert {r[0]: r[1] for r in got.collect()} == {x: find(x) for x in list(parent)}
 
 
-def test_word_hashes_depend_on_words_only():
-    first = wordgrid.shingle_sets([b"x y", b"The quick  brown\tfox jumps\nover"])[1]
-    again = wordgrid.shingle_sets([b"the QUICK brown fox jumps over", b"", b"zzz"])
-    assert first.tolist() == again[0].tolist() and len(first) == 2 and len(again[1]) == 0 and len(again[2]) == 1
+def test_shingles_depend_on_words_only():
+    first = wordgrid.shingle_values([b"x y", b"The quick  brown\tfox jumps\nover"])[0][1]
+    again, count = wordgrid.shingle_values([b"the QUICK brown fox jumps over", b"", b"zzz", b"a b c d e a b c d e a b c d e"])
+    assert first.tolist() == again[0].tolist() and count.tolist() == [2, 0, 1, 5] and list(map(len, again)) == [2, 0, 1, 5]
+    numbers = wordgrid.shingle_numbers([b"a b c d e f", b"A b  c d e", b"a b", b"a b", b"b a", b""])
+    assert list(map(len, numbers)) == [2, 1, 1, 1, 1, 0] and numbers[1][0] in numbers[0] and numbers[2][0] == numbers[3][0] != numbers[4][0]
     assert textstats.repeated_lines(b"a\n\na\n \n \nb\na") == 2
+
+
+def test_counts_of_shingles_are_by_words(monkeypatch):
+    monkeypatch.setattr(wordgrid, "word_values", lambda distinct: np.zeros(len(distinct), np.uint64))  # all words collide
+    sets, count = wordgrid.shingle_values([b"a b c d e f g a b c d e f g"])
+    assert len(sets[0]) == 1 and count.tolist() == [7]

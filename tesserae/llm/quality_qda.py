@@ -4,10 +4,14 @@ Every document's whole text becomes a vector of transformed statistics.  Each cl
 and a covariance, which is shrunk towards the pooled one and its diagonal; a score is the logistic of the
 difference of the classes' log densities, Mahalanobis distances being norms after the classes' inverse Cholesky
 factors, which are computed once.  Means and covariances come from sums over all labelled rows, added up by key in
-the cluster, so the driver gets ``2 * (d + 1) * (d + 2) / 2`` numbers at any size.
-
-Null texts count as empty and get a score like any other.  Null or foreign labels don't count.  If a class has no
-labelled document, all scores are the share of label 1 (0.5 without any).  Repeated rows score alike.
+the cluster, so the driver gets ``2 * (d + 1) ** 2`` numbers at any size.  The sums are of whole multiples of
+2 ** -``FRACTION_BITS``, so they are the same in whatever order tasks end.
+
+Null texts count as empty and get a score like any other.  Null or foreign labels don't count, repeated labels count
+once, ids with contradictory labels not at all, and rows that repeat id and vector count once.  If a class has fewer
+than two labelled documents, all scores are the share of label 1 (0.5 without any).  Repeated rows score alike; null
+ids stay null; texts are read whole; further columns, however named, aren't read, but for ``accepted``, which keeps
+them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textstats as ts
-from tesserae.llm.shared import clash_free, small, utf8
+from tesserae.llm.shared import clash_free, single_labels, small, utf8
 from tesserae.llm.wordgrid import chunks, split_words
 
 FEATURES = ("words", "word_length", "distinct", "upper", "digits", "symbols", "marks", "stops", "quotes", "rest", "line_length")
 #: Words and characters that are added to a text when shares are taken, so that very short texts aren't outliers.
 PRIOR_WORDS, PRIOR_CHARS = 20, 100
+#: Binary places to which values are rounded where moments are taken.
+FRACTION_BITS = 16
 
 
 def feature_matrix(texts: list[bytes]) -> np.ndarray:
@@ -71,23 +77,22 @@ class Model(NamedTuple):
 def moments(vectors: DataFrame, labels: DataFrame, id_column: str, label_column: str) -> np.ndarray:
     """Per class, the sum over labelled documents of the outer product of (1, x) with itself."""
     d = len(FEATURES) + 1
-    known = clash_free(labels, [id_column, label_column]).filter(F.col(label_column).isin(0, 1)).toDF("label_id", "label")
-    joined = vectors.join(known, F.col(id_column) == F.col("label_id")).select(F.col("label").cast("int"), "x")
+    joined = vectors.join(single_labels(labels, id_column, label_column), F.col(id_column) == F.col("label_id")).select("label_id", F.col("label").cast("int").alias("label"), "x").dropDuplicates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, d, d))
         for batch in batches:
+            total = np.zeros((2, d, d), np.int64)
             x = np.asarray(batch.column(1).flatten()).reshape(-1, d - 1)
-            one = np.column_stack((np.ones(len(x)), x))
+            one = np.rint(np.column_stack((np.ones(len(x)), x)) * 2.0**FRACTION_BITS).astype(np.int64)
             y = np.asarray(batch.column(0))
             for c in (0, 1):
                 total[c] += one[y == c].T @ one[y == c]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["k", "v"])
 
-    rows = joined.mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # 2 * d * d rows
+    rows = joined.select("label", "x").mapInArrow(run, "k bigint, v bigint").groupBy("k").agg(F.sum(F.col("v").cast("decimal(20,0)")).alias("v")).collect()  # 2 * d * d rows
     out = np.zeros(2 * d * d)
     for row in rows:
-        out[row["k"]] = row["v"]
+        out[row["k"]] = int(row["v"]) / 4.0**FRACTION_BITS
     return out.reshape(2, d, d)
 
 

@@ -50,7 +50,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(quality_rules.statistics(table(spark, sf_dir, "documents")), "quality-statistics")
     cutoffs = quality_rules.certified_cutoffs(stats, table(spark, sf_dir, "labels"))
-    return quality_rules.verdicts(stats, cutoffs)
+    return quality_rules.verdicts(stats, cutoffs).drop("content")
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,9 @@ def small(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 1_000
 def clash_free(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Only the ``wanted`` columns of ``df``: extra ones, however named, can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])
+
+
+def single_labels(labels: DataFrame, id_column: str, label_column: str) -> DataFrame:
+    """(label_id, label): one row per id that is labelled 0 or 1; repeated labels count once, contradictory ones not at all."""
+    valid = clash_free(labels, [id_column, label_column]).toDF("label_id", "label").filter(F.col("label_id").isNotNull() & F.col("label").isin(0, 1))
+    return valid.groupBy("label_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")

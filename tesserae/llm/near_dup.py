@@ -45,8 +45,8 @@ LIMIT = 75
 LEAST_ESTIMATE = 0.55
 #: Documents, and about how many shingles, in a block of the exhaustive comparison.
 BLOCK, BLOCK_SHINGLES = 256, 200_000
-#: Shingles of the partners that one task confirms with one pivot.
-PIVOT_SHINGLES = 500_000
+#: Partners, and about how many shingles of theirs, that are confirmed with one pivot at a time.
+PIVOT_DOCS, PIVOT_SHINGLES = 512, 500_000
 
 _MINIMA = BANDS * ROWS
 _FACTOR = mix64(np.arange(1, _MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
@@ -128,7 +128,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (pivot, rep, n shingles of rep) whose full sets are similar enough, as u and v; ``texts`` has rep and text."""
-    hubs = written(pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / PIVOT_SHINGLES).cast("int").alias("salts")), "near-dup-pivots")
+    hubs = written(pairs.groupBy("pivot").agg(F.ceil(F.greatest(F.sum("n") / PIVOT_SHINGLES, F.count("*") / PIVOT_DOCS)).cast("int").alias("salts")), "near-dup-pivots")
     salted = pairs.join(hubs, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), "rep")
     first = hubs.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("rep"))
     # a pivot's text comes before those of its partners

@@ -3,22 +3,25 @@
 A *word* is a maximal run of bytes other than space, \\t, \\n, \\v, \\f and \\r.  These six are ASCII, so words can
 be cut on UTF-8 bytes.  Inside a batch words are numbered by their bytes, and shingles by the numbers of their words,
 so equality there never rests on a hash.  Where shingles must be known across batches, as for minima, their values
-come from a keyed cryptographic digest of each word, chained so that no place of a word can be traded for another.
+come from a keyed hash of each word that mixes 8 bytes a round, chained so that no place can be traded for another.
+Such values only propose what is then compared by words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, count
 from typing import NamedTuple
 
 import numpy as np
 
 #: Words in one shingle.
 SHINGLE = 5
-#: The key of word digests: any bytes do, as long as all tasks of a job use the same.
+#: The key of word hashes: any bytes do, as long as all tasks of a job use the same.
 KEY = b"tesserae shingles"
+#: Words of more bytes than this are hashed one by one, by a keyed digest.
+LONG_WORD = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -44,21 +47,13 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-class _Numbers(dict):
-    """Numbers keys in the order in which they are first asked for."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = number = len(self)
-        return number
-
-
 def split_words(texts: Sequence[bytes], lower: bool = False) -> Words:
     """Words of all texts, of which A-Z become a-z if ``lower``."""
     parts = [t.lower().split() if lower else t.split() for t in texts]  # bytes: ASCII letters and white space only
     first = np.cumsum([0, *map(len, parts)])
-    numbers = _Numbers()
-    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(first[-1]))
-    return Words(ids, first, list(numbers))
+    words = list(chain.from_iterable(parts))
+    numbers = dict(zip(dict.fromkeys(words), count(), strict=False))
+    return Words(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), first, list(numbers))
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,15 +89,34 @@ def shingle_numbers(texts: Sequence[bytes]) -> list[np.ndarray]:
     cells = np.unique(text * base + number)
     bounds = np.searchsorted(cells, np.arange(len(texts) + 1) * base)
     out = [cells[a:b] % base for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    short: dict[bytes, int] = _Numbers()
+    short: dict[bytes, int] = {}
     for d in np.flatnonzero((np.diff(w.first) > 0) & (np.diff(w.first) < SHINGLE)).tolist():
-        out[d] = np.array([base + short[w.ids[w.first[d] : w.first[d + 1]].tobytes()]])
+        words = w.ids[w.first[d] : w.first[d + 1]].tobytes()
+        out[d] = np.array([base + short.setdefault(words, len(short))])
     return out
 
 
+def _keys(n: int) -> np.ndarray:
+    """Round keys."""
+    seed = int.from_bytes(hashlib.blake2b(KEY, digest_size=8).digest(), "little")
+    return mix64(np.uint64(seed) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def word_values(distinct: Sequence[bytes]) -> np.ndarray:
-    """64 bits of each word's keyed digest."""
-    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8, key=KEY).digest() for x in distinct), "<u8").astype(np.uint64)
+    """A keyed 64-bit hash of each word."""
+    size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    begin = np.cumsum(size) - size
+    buffer = np.frombuffer(b"".join([*distinct, bytes(8)]), np.uint8)
+    keys = _keys(LONG_WORD // 8 + 1)
+    out = mix64(keys[0] + size.astype(np.uint64))
+    for k in range(int(min(size.max(initial=0), LONG_WORD) + 7) // 8):
+        rows = np.flatnonzero((size > 8 * k) & (size <= LONG_WORD))
+        column = 8 * k + np.arange(8)
+        eight = np.where(column < size[rows][:, None], buffer[begin[rows][:, None] + np.minimum(column, size[rows][:, None])], 0).astype(np.uint8)
+        out[rows] = mix64((out[rows] ^ eight.view("<u8")[:, 0]) + keys[k + 1])
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(distinct[k], digest_size=8, key=KEY).digest(), "little")
+    return out
 
 
 def _chained(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -123,7 +137,7 @@ def shingle_values(texts: Sequence[bytes]) -> tuple[list[np.ndarray], np.ndarray
     at = window_starts(w)
     chained = _chained(values, at, SHINGLE)
     bounds = np.searchsorted(w.text[at], np.arange(len(texts) + 1))
-    out, count = [], np.zeros(len(texts), np.int64)
+    out, size = [], np.zeros(len(texts), np.int64)
     for d in range(len(texts)):
         a, b = bounds[d], bounds[d + 1]
         if b > a:
@@ -131,17 +145,17 @@ def shingle_values(texts: Sequence[bytes]) -> tuple[list[np.ndarray], np.ndarray
             ordered = chained[a:b][order]
             fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
             out.append(ordered[fresh])
-            count[d] = len(out[-1])
+            size[d] = len(out[-1])
             again = np.flatnonzero(~fresh)
             here, before = at[a:b][order[again]], at[a:b][order[again - 1]]
             if any((w.ids[here + k] != w.ids[before + k]).any() for k in range(SHINGLE)):
-                count[d] = len(np.unique(window_numbers(w, at[a:b])))
+                size[d] = len(np.unique(window_numbers(w, at[a:b])))
         elif w.first[d + 1] > w.first[d]:
             out.append(_chained(values, w.first[d : d + 1], int(w.first[d + 1] - w.first[d])))
-            count[d] = 1
+            size[d] = 1
         else:
             out.append(np.zeros(0, np.uint64))
-    return out, count
+    return out, size
 
 
 def chunks(texts: Sequence[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:

@@ -7,11 +7,15 @@ sliding windows of lines that don't reach over the edge of such an element; text
 surges over a threshold to the point where it dives to zero, lines made of links between them too.
 
 A null page counts as empty; an empty page has the empty text.  Truncated markup ends at the end of the page; a tag
-without its end is dropped.  Nothing is cut off long pages.
+without its end is dropped.  Nothing is cut off long pages, and open elements are counted by name, so that end tags
+without a start cost nothing however deep the nesting is.  Rows that repeat are extracted alike, null ids stay null,
+only the named columns are read, whatever others are called, and an empty table gives no rows.  There are no ties: at
+each line the windows of its region alone decide.
 """
 
 from __future__ import annotations
 
+import collections
 import html
 import itertools
 import re
@@ -66,6 +70,7 @@ def lines_of(page: str, dropped: frozenset[str] = DROPPED) -> list[Line]:
     lines: list[Line] = []
     #: Open elements: name, cause of being dropped ('' if it isn't), depth of article or main, whether in a link.
     stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
+    opened: collections.Counter[str] = collections.Counter()  # of the stack, by name
     parts: list[str] = []
     linked = 0
 
@@ -93,10 +98,11 @@ def lines_of(page: str, dropped: frozenset[str] = DROPPED) -> list[Line]:
         if not name:
             continue
         if m[1] or m[4]:  # an end tag
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if depth:
+            if opened[name]:
+                depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
                 if any(x[0] in BLOCKS for x in stack[depth:]):
                     flush()
+                opened.subtract(x[0] for x in stack[depth:])
                 del stack[depth:]
             continue
         attributes = m[3] or m[6] or ""
@@ -109,6 +115,7 @@ def lines_of(page: str, dropped: frozenset[str] = DROPPED) -> list[Line]:
             flush()
             if stack[-1][0] == "p":  # a new block ends an open paragraph
                 stack.pop()
+                opened["p"] -= 1
         elif name == "br":
             parts.append(" ")
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
@@ -118,6 +125,7 @@ def lines_of(page: str, dropped: frozenset[str] = DROPPED) -> list[Line]:
             cause = name
         elif cause == "form" and name in ("article", "main"):
             cause = ""
+        opened[name] += 1
         stack.append((name, cause, depth + (name in ("article", "main") and not cause), link or name == "a"))
     flush()
     return lines

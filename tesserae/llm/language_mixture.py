@@ -2,12 +2,19 @@
 
 ``learn`` counts character trigrams of letters per language.  ``identify`` treats every word of a whole text as drawn
 from one of a set of languages: expectation-maximisation gives the languages' shares, and the set is the one with the
-best penalised likelihood (half the logarithm of the number of words for each further language).  The language of a
+best penalised likelihood (half the logarithm of the number of words for each further language).  Sets are looked for
+along one ranking, that of the shares of all languages together: the first language, the first two, and so on, as long
+as a larger set gains more than it costs.  Expectation-maximisation runs ``ROUNDS`` rounds, which ends before the last
+digits of shares have settled.  The language of a
 document is the one with the largest share in the chosen set, and its score that share.  ``accepted`` also asks how
 well the mixture fits the text at all, as shares among the learned languages can't tell that a text is in none of them.
 
-Null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing could be learned.
-Ties go to the language that sorts first.  Rows that repeat, null ids and extra columns change nothing.
+Languages with less than ``LEAST_LANGUAGE`` of the labelled rows aren't learned, so there are no more than
+1 / ``LEAST_LANGUAGE`` of them, however many values the label column has.
+
+Null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing could be learned; rows
+without a label aren't learned from.  Ties go to the language that sorts first.  Texts are read whole, whatever their
+length.  Rows that repeat, null ids and extra columns change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +35,8 @@ from tesserae.llm.wordgrid import chunks, mix64
 BITS = 16
 #: The bound of the sample that is learned from: about so many labelled documents of each language.
 SAMPLE_PER_LANGUAGE = 1500
+#: Labels of a smaller share of the labelled rows than this aren't taken for languages.
+LEAST_LANGUAGE = 0.001
 SMOOTHING = 0.5
 ROUNDS = 8
 #: A word says no more than this for one language over the best of the others, so that one odd word can't decide.
@@ -84,13 +93,16 @@ class Model(NamedTuple):
 def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> Model:
     """Learns from whole texts of a sample bounded by ``sample`` per language, drawn by a hash of the id."""
     rows = clash_free(labelled, [id_column, text_column, language_column]).toDF("id", "text", "lang").filter("lang is not null")
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # reads that column only
+    counted = rows.groupBy("lang").count()  # reads that column only
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    totals = {r["lang"]: r["count"] for r in counted.filter(F.col("count") >= LEAST_LANGUAGE * total).collect()}  # 1 / LEAST_LANGUAGE rows at most
     if not totals:
         return Model([], np.zeros((1 << BITS, 0)))
     languages = sorted(totals)
     share = F.lit(0.0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, min(1.0, sample / totals[lang])).otherwise(share)
+    rows = rows.filter(F.col("lang").isin(languages))
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < share * (1 << 20)
     cells = 1 << BITS
 

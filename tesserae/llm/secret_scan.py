@@ -5,8 +5,9 @@ bring along.  ``postings`` lists, for the trigrams that the rules ask for, the t
 intersects and unites postings per rule.  ``scan`` verifies candidates with the regexes; rules without a mandatory
 trigram scan all texts in full.  Spans are in code points, end exclusive, leftmost and non-overlapping per kind.
 
-Null texts count as empty and have no spans; equal rows get equal results; null ids and extra columns are kept apart
-from the operator's own columns by name.  Postings are keyed by id and content, so rows that share an id but not a
+Null texts count as empty and have no spans; equal rows get equal results; spans that start together go in the order of
+the rules; texts are read whole; an empty table gives no rows; null ids and extra columns are kept apart from the
+operator's own columns by name.  Postings are keyed by id and content, so rows that share an id but not a
 text aren't mixed up.
 """
 
@@ -44,7 +45,7 @@ MORE_RULES = (
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_bot", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"https?://[^\s:/@]{1,200}:[^\s:/@]{1,200}@"),
+    Rule("url_login", r"https?://[^\s:/@]+:[^\s:/@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 

@@ -68,6 +68,23 @@ def cooccurrences(run_table: DataFrame, anchors: DataFrame) -> DataFrame:
     return other.unionByName(own)
 
 
+def cooccurrence_sums(run_table: DataFrame, anchors: DataFrame) -> DataFrame:
+    """What ``cooccurrences`` adds up to per run, without its pairs: target, container, count, multiplicity, gap, relation.
+
+    A run of a container with ``a`` anchor runs is a candidate ``a`` times, once less if it is one of them; its least gap
+    is that to the nearest anchor run before or after.  One sort of a container either way, linear in its length.
+    """
+    marked = run_table.join(anchors.select("entity").distinct().withColumn("_anchor", F.lit(1)), "entity", "left")
+    whole, up, down = Window.partitionBy("container"), Window.partitionBy("container").orderBy("ordinal"), Window.partitionBy("container").orderBy(F.desc("ordinal"))
+    at = F.when(F.col("_anchor") == 1, F.col("ordinal"))
+    near = lambda order: F.abs(F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)) - F.col("ordinal"))
+    seen = marked.withColumn("_anchors", F.count("_anchor").over(whole)).withColumn("_before", near(up)).withColumn("_after", near(down))
+    times = (F.col("_anchors") - F.coalesce("_anchor", F.lit(0))).cast("bigint")
+    others = seen.select(F.col("entity").alias("target"), "container", times.alias("count"), (times * F.col("run")).alias("multiplicity"), F.least("_before", "_after").cast("bigint").alias("gap"), F.lit(COOCCUR).alias("relation")).filter("count > 0")
+    own = anchored(run_table, anchors).filter("run > 1").select(F.col("entity").alias("target"), "container", F.lit(1).cast("bigint").alias("count"), (F.col("run") - 1).alias("multiplicity"), F.lit(1).cast("bigint").alias("gap"), F.lit(COOCCUR).alias("relation"))
+    return others.unionByName(own)
+
+
 def union_of(*providers: DataFrame) -> DataFrame:
     """The set union of providers' candidates: complete equal candidates collapse."""
     return reduce(DataFrame.unionByName, providers).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.scalars import reduced
+
 ENDPOINT, PRESENT, RETIRED = 1, 2, 4
 IS_PRESENT, IS_RETIRED, IS_UNRESOLVED = 1, 2, 6
 
@@ -12,11 +14,14 @@ IS_PRESENT, IS_RETIRED, IS_UNRESOLVED = 1, 2, 6
 def topology(candidates: DataFrame, key: list[str]) -> DataFrame:
     """Adds present_any, retired_any, disposition and conflict to candidates with ``rule_flags``, per full key.
 
-    Present wins if any candidate of the key declares it, else retired, else unresolved; both is a conflict.
+    Present wins if any candidate of the key declares it, else retired, else unresolved; both is a conflict.  Keys are
+    aggregated first, partially where the candidates lie, and joined back, so a hot key is no task of its own.
     """
-    per_key = Window.partitionBy(*key)
-    flag = lambda bit: F.max(F.when(F.col("rule_flags").bitwiseAND(bit) != 0, 1).otherwise(0)).over(per_key)
-    seen = candidates.withColumn("present_any", flag(PRESENT)).withColumn("retired_any", flag(RETIRED))
+    flag = lambda bit: F.max(F.when(F.col("rule_flags").bitwiseAND(bit) != 0, 1).otherwise(0))
+    names = [f"_key_{k}" for k in range(len(key))]
+    each = candidates.groupBy(*[F.col(c).alias(n) for c, n in zip(key, names, strict=True)]).agg(flag(PRESENT).alias("present_any"), flag(RETIRED).alias("retired_any"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True)]
+    seen = candidates.join(each, same).drop(*names)
     disposition = F.when(F.col("present_any") == 1, IS_PRESENT).when(F.col("retired_any") == 1, IS_RETIRED).otherwise(IS_UNRESOLVED)
     return seen.withColumn("disposition", disposition).withColumn("conflict", (F.col("present_any") == 1) & (F.col("retired_any") == 1))
 
@@ -93,7 +98,7 @@ def testimony_faults(rows: DataFrame, boundary: str) -> DataFrame:
     n, d = F.col("uncertainty_numerator"), F.col("uncertainty_denominator")
     fault = (
         F.when(~F.col("source_type").between(1, 8), "source_type").when(~F.col("outcome_type").between(1, 9), "outcome_type").when(~F.col("disposition").between(1, 10), "disposition")
-        .when((d <= 0) | (n > d) | ((n == 0) & (d != 1)), "uncertainty").when(repeated, "repeated")
+        .when((d <= 0) | (n > d) | ((n == 0) & (d != 1)) | ~reduced(n.cast("bigint"), d.cast("bigint")), "uncertainty").when(repeated, "repeated")
     )
     return rows.withColumn("fault", fault).filter("fault is not null")
 

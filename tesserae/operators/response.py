@@ -10,10 +10,25 @@ from tesserae.functions.dimensions import ENUMERATIONS
 RELATIONS = ENUMERATIONS["relation_family"]
 
 
-def response_field(candidates: DataFrame) -> DataFrame:
-    """Per target: candidates, multiplicity, least gap, masks, distinct containers and mass by relation channel."""
-    channels = [F.sum(F.when(F.col("relation") == bit, F.col("multiplicity")).otherwise(0)).alias(f"mass_{name}") for bit, name in RELATIONS.items() if bit <= 16]
-    return candidates.groupBy("target").agg(F.count("*").alias("candidate_count"), F.sum("multiplicity").alias("multiplicity"), F.min("gap").alias("min_gap"), F.bit_or("relation").alias("relation_mask"), F.countDistinct("container").alias("containers"), *channels)
+def counted(candidates: DataFrame) -> DataFrame:
+    """Candidates as sums of one each: target, container, count, multiplicity, gap, relation."""
+    return candidates.select("target", "container", F.lit(1).cast("bigint").alias("count"), "multiplicity", "gap", "relation")
+
+
+def response_field(candidates: DataFrame, *sums: DataFrame) -> DataFrame:
+    """Per target: candidates, multiplicity, least gap, masks, distinct containers and mass by relation channel.
+
+    ``sums`` are candidates that are added up already, as ``counted`` has them.  The fold has two levels, by target and
+    container and then by target, so that containers are counted without a distinct count.
+    """
+    rows = counted(candidates)
+    for more in sums:
+        rows = rows.unionByName(more)
+    bits = {bit: name for bit, name in RELATIONS.items() if bit <= 16}
+    channels = [F.sum(F.when(F.col("relation") == bit, F.col("multiplicity")).otherwise(0)).alias(f"mass_{name}") for bit, name in bits.items()]
+    held = rows.groupBy("target", "container").agg(F.sum("count").alias("count"), F.sum("multiplicity").alias("multiplicity"), F.min("gap").alias("gap"), F.bit_or("relation").alias("relation"), *channels)
+    totals = [F.sum(f"mass_{name}").alias(f"mass_{name}") for name in bits.values()]
+    return held.groupBy("target").agg(F.sum("count").alias("candidate_count"), F.sum("multiplicity").alias("multiplicity"), F.min("gap").alias("min_gap"), F.bit_or("relation").alias("relation_mask"), F.count("*").alias("containers"), *totals)
 
 
 def evidence_fold(observations: DataFrame, key: list[str]) -> DataFrame:

@@ -34,9 +34,11 @@ def _undominated(labels: DataFrame) -> DataFrame:
     return labels.withColumn("_least", F.min("cost").over(shallower)).filter("_least is null or cost < _least").drop("_least")
 
 
-def cheapest_paths(edges: DataFrame, anchors: DataFrame, goals: DataFrame, max_depth: int, paths: int, max_labels: int = 10_000_000) -> Found:
+def cheapest_paths(edges: DataFrame, anchors: DataFrame, goals: DataFrame, max_depth: int, paths: int | None, max_labels: int = 10_000_000) -> Found:
     """Up to ``paths`` cheapest undominated paths from any anchor (state) to any goal (state), at most ``max_depth`` edges.
 
+    Without ``paths`` they are all given, in no order.
+
     ``edges`` has source, target, cost (not negative).  Each level joins the frontier with the edges once.
     """
     start = anchors.select("state").distinct().select("state", F.lit(0).cast("decimal(38,0)").alias("cost"), F.lit(0).alias("depth"), F.array(F.col("state").cast("string")).alias("path"))
@@ -56,7 +58,7 @@ def cheapest_paths(edges: DataFrame, anchors: DataFrame, goals: DataFrame, max_d
         cut = frontier.join(edges, F.col("state") == F.col("source"), "left_semi")
         disposition = "complete" if cut.isEmpty() else "upper_bound"
     at_goal = known.join(goals.select(F.col("state")).distinct(), "state", "left_semi")
-    best = at_goal.orderBy("cost", "depth", "path").limit(paths)
+    best = at_goal if paths is None else at_goal.orderBy("cost", "depth", "path").limit(paths)
     if disposition == "complete" and best.isEmpty():
         disposition = "no_admissible_path"
     return Found(best, disposition, level)

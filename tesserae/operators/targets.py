@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import ident
+from tesserae.operators.linear import factored
 
 
 def scope_plan(selectors: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -31,12 +29,16 @@ def slot_operators(jobs: DataFrame) -> DataFrame:
 def identical_slots(operators: DataFrame) -> DataFrame:
     """Pairs of slots whose operators are the same: a target must not have them."""
     entry = F.struct("row", "col", "value")
-    prints = operators.groupBy("slot").agg(ident.set_fingerprint(F.to_json(entry)).alias("print"))
+    prints = operators.groupBy("slot").agg(ident.set_fingerprint(ident.record_id("operator_entry", F.to_json(entry))).alias("print"))
     other = prints.select(F.col("slot").alias("other"), "print")
     return prints.join(other, "print").filter("slot < other").select("slot", "other")
 
 
-def chain_solution(uncertainty: list[tuple[int, int]], boundary: float = 1e6) -> np.ndarray:
+#: The weight by which a path's ends are held.
+BOUNDARY = 1e6
+
+
+def chain_solution(uncertainty: list[tuple[int, int]], boundary: float = BOUNDARY) -> np.ndarray:
     """Values along a path whose steps hold with precision 1 - n/d, from 0 at its anchor to 1 at its goal."""
     weight = np.array([1 - n / d for n, d in uncertainty])
     size = len(weight) + 1
@@ -50,23 +52,22 @@ def chain_solution(uncertainty: list[tuple[int, int]], boundary: float = 1e6) ->
 
 
 def path_values(paths: DataFrame) -> DataFrame:
-    """Adds anchor_value, goal_value and accepted to paths with ``steps array<struct<n,d>>``: one small system each."""
-    schema = paths.schema
+    """Adds anchor_value, goal_value and accepted to paths with ``steps array<struct<n,d>>``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [chain_solution([(s["n"], s["d"]) for s in steps]) if steps else np.zeros(2) for steps in batch.column(batch.schema.get_field_index("steps")).to_pylist()]
-            first, last = [float(v[0]) for v in values], [float(v[-1]) for v in values]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(last), pa.array([b > a for a, b in zip(first, last, strict=True)])], [*batch.schema.names, "anchor_value", "goal_value", "accepted"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return paths.mapInArrow(run, f"{fields}, anchor_value double, goal_value double, accepted boolean")
+    A path is a chain of resistances 1 / (1 - n/d) between its two boundaries, so the ends of ``chain_solution`` have a
+    closed form: what flows is one over the sum of all resistances.  A step of no certainty lets nothing through.
+    """
+    resistance = F.aggregate("steps", F.lit(0.0), lambda total, s: total + F.when(s["n"] == s["d"], F.lit(float("inf"))).otherwise(s["d"] / (s["d"] - s["n"])))
+    flow = F.when(F.size("steps") > 0, 1 / (resistance + F.lit(2 / BOUNDARY)))
+    ends = paths.withColumn("anchor_value", F.coalesce(flow / BOUNDARY, F.lit(0.0))).withColumn("goal_value", F.coalesce(1 - flow / BOUNDARY, F.lit(0.0)))
+    return ends.withColumn("accepted", F.col("goal_value") > F.col("anchor_value"))
 
 
 def attention(qk: np.ndarray, vo: np.ndarray, width: int) -> dict[str, np.ndarray]:
     """Query, key, value and output matrices over one orthonormal basis of both operators' leading spaces.
 
-    The basis is orthogonalised twice; each factor pair multiplies to its operator within that basis.
+    The basis is orthogonalised twice; each factor pair multiplies to its operator within that basis, the roots of its
+    singular values going to both.
     """
     if qk.shape == vo.shape and np.array_equal(qk, vo):
         raise ValueError("the two operators are identical")
@@ -81,4 +82,5 @@ def attention(qk: np.ndarray, vo: np.ndarray, width: int) -> dict[str, np.ndarra
         if norm > 1e-9 and len(basis) < width:
             basis.append(c / norm)
     q = np.array(basis).T
-    return {"basis": q, "q": q.T @ qk @ q, "k": np.eye(q.shape[1]), "v": q.T @ vo @ q, "o": np.eye(q.shape[1])}
+    (query, key), (value, out) = factored(q.T @ qk @ q), factored(q.T @ vo @ q)
+    return {"basis": q, "q": query, "k": key.T, "v": value, "o": out.T}

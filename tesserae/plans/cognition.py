@@ -32,7 +32,7 @@ def lateral_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(per, F.col("brand") == F.col("b"), "left").select("brand", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("every_large", F.lit(True)).alias("every_large"))
 
 
-@registered("SELECT count(*) AS verified FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END FROM customer WHERE c_custkey % 2 = 0 INTERSECT SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 21 = 0 THEN 'x' WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END FROM customer)")
+@registered("SELECT count(*) AS verified FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END FROM customer INTERSECT SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 21 = 0 THEN 'x' WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END FROM customer)")
 def verified_rows(spark: SparkSession, d: str) -> DataFrame:
     """Incoming rows that are stored exactly, nulls compared as values."""
     rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -66,7 +66,8 @@ def slot_operators(spark: SparkSession, d: str) -> DataFrame:
     return found
 
 
-@registered()
+@registered("""
+SELECT l_orderkey, CAST(count(*) AS INTEGER) AS steps, round(1 - 1 / (sum(1 / (1 - round(l_discount * 100) / 100)) + 2e-6) / 1e6, 6) AS goal_value, true AS accepted FROM lineitem GROUP BY l_orderkey""")
 def path_values(spark: SparkSession, d: str) -> DataFrame:
     """Orders as paths through their lines, each step uncertain by its discount."""
     step = F.struct(F.round(F.col("l_discount") * 100).cast("bigint").alias("n"), F.lit(100).cast("bigint").alias("d"))
@@ -83,7 +84,7 @@ def collation_order(spark: SparkSession, d: str) -> DataFrame:
     return keyed.orderBy("key", "word")
 
 
-@registered("SELECT o_custkey AS goal, CASE WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'blocked' ELSE 'complete' END AS state FROM orders WHERE o_custkey < 20 GROUP BY ALL")
+@registered("SELECT o_custkey AS goal, CASE WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'blocked' ELSE 'complete' END AS state FROM orders GROUP BY ALL")
 def forward_passes(spark: SparkSession, d: str) -> DataFrame:
     """One pass a customer: open orders resolve to satisfied, partial ones can't be resolved and block."""
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("goal"), F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3).alias("disposition"), F.lit(True).alias("required"), F.lit(False).alias("unresolved_allowed"))
@@ -108,7 +109,7 @@ def why_not_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered("""
-WITH l AS (SELECT substr(sha256(text), 1, 32) AS id, sha256(text) AS witness, min(doc_id) AS position FROM documents GROUP BY ALL), q AS (SELECT substr(sha256(text), 1, 32) AS id, CASE WHEN doc_id % 10 = 0 THEN 'stale' ELSE sha256(text) END AS witness FROM documents WHERE doc_id % 5 = 0)
+WITH l AS (SELECT substr(sha256(text), 1, 32) AS id, sha256(text) AS witness, min(doc_id) AS position FROM documents GROUP BY ALL), q AS (SELECT substr(sha256(text), 1, 32) AS id, CASE WHEN doc_id % 10 = 0 THEN 'stale' ELSE sha256(text) END AS witness FROM documents)
 SELECT q.id AS id, l.position AS position, count(*) AS probes FROM q JOIN l ON q.id = l.id AND q.witness = l.witness GROUP BY ALL""")
 def reverse_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Ids looked up in a table from identity to position; a hit counts only if the full witness agrees."""

@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators.closure import shared_folder
 from tesserae.plans import registry
 from tesserae.plans.catalog import registered, table
 from tesserae.sources import bundle, providers, store, tabular
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/tesserae").rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @registered("SELECT CAST(s_suppkey AS BIGINT) AS suppkey, s_name AS name, CAST(s_nationkey AS BIGINT) AS nation FROM supplier")

@@ -33,8 +33,8 @@ def testimony_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered("""
-SELECT event_id AS testimony_id, CASE WHEN event_id % 11 = 0 THEN 'outcome_type' WHEN user_id % 12 = 0 OR user_id % 12 > 10 THEN 'disposition' WHEN event_id % 4 > event_id % 3 + 1 THEN 'uncertainty' END AS fault FROM events
-WHERE event_id % 11 = 0 OR user_id % 12 = 0 OR user_id % 12 > 10 OR event_id % 4 > event_id % 3 + 1 OR (event_id % 4 = 0 AND event_id % 3 + 1 <> 1)""".replace("WHEN event_id % 4 > event_id % 3 + 1 THEN 'uncertainty' END", "WHEN event_id % 4 > event_id % 3 + 1 OR (event_id % 4 = 0 AND event_id % 3 <> 0) THEN 'uncertainty' END"))
+SELECT * FROM (SELECT event_id AS testimony_id, CASE WHEN event_id % 11 = 0 THEN 'outcome_type' WHEN user_id % 12 = 0 OR user_id % 12 > 10 THEN 'disposition' WHEN n > d OR (n = 0 AND d <> 1) OR gcd(n, d) <> 1 THEN 'uncertainty' END AS fault
+ FROM (SELECT *, event_id % 4 AS n, event_id % 3 + 1 AS d FROM events)) WHERE fault IS NOT NULL""")
 def testimony_faults(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(
         F.col("event_id").alias("testimony_id"), F.col("event_id").alias("position"), F.lit(1).alias("source_type"), (F.col("event_id") % 11).alias("outcome_type"), (F.col("user_id") % 12).alias("disposition"),
@@ -95,7 +95,7 @@ def presence_classes(spark: SparkSession, d: str) -> DataFrame:
     return resolve.classify_presence(incoming, stored, "id", "witness").groupBy("class").agg(F.count("*").alias("n"))
 
 
-@registered("SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_custkey % 4 = 1 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 3 = 0)")
+@registered("SELECT DISTINCT o_custkey AS custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 3 = 0)")
 def append_missing(spark: SparkSession, d: str) -> DataFrame:
     incoming = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"))
     stored = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("custkey"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators.closure import shared_folder
 from tesserae.plans.catalog import registered, table
 from tesserae.streaming import canonical
 
@@ -39,8 +40,7 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
 @registered("SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")
 def streamed_totals(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream, drained once into two sibling sinks; the totals of one of them."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/tesserae").rstrip("/")
-    run = f"{base}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     source = canonical.folder_stream(spark, d, schema, "events.parquet")
     canonical.run_producer(source, [canonical.parquet_sink(f"{run}/a"), canonical.parquet_sink(f"{run}/b")], f"{run}/checkpoint")

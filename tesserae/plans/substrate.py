@@ -41,7 +41,7 @@ def _bipartite(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GRAPH = """
-q AS (SELECT l_suppkey % 40 AS s, l_partkey % 60 AS p, min(l_linenumber) AS c FROM lineitem GROUP BY ALL HAVING (l_suppkey % 40 + l_partkey % 60) % 7 = 0),
+q AS (SELECT l_suppkey AS s, l_partkey AS p, min(l_linenumber) AS c FROM lineitem GROUP BY ALL),
 e AS (SELECT s * 2 AS source, p * 2 + 1 AS target, CAST(3 * c + 1 AS BIGINT) AS cost FROM q UNION ALL SELECT p * 2 + 1, s * 2, CAST(3 * c + 1 AS BIGINT) FROM q)"""
 
 
@@ -52,7 +52,7 @@ def cheapest_states(spark: SparkSession, d: str) -> DataFrame:
     edges = _bipartite(spark, d)
     states = spark.range(1).select(F.col("id").alias("state"))
     goals = edges.select(F.col("source").alias("state")).filter("state % 2 = 0").distinct()
-    found = search.cheapest_paths(edges, states, goals, max_depth=4, paths=1 << 30, max_labels=1 << 62)
+    found = search.cheapest_paths(edges, states, goals, max_depth=4, paths=None, max_labels=1 << 62)
     best = found.paths.groupBy("state").agg(F.min("cost").cast("bigint").alias("cost"))
     return best.orderBy("cost", "state").limit(10)
 
@@ -63,7 +63,7 @@ def response_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered("""
-SELECT o_orderkey AS orderkey, c_nationkey AS nation, s_suppkey AS supplier FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey WHERE o_orderkey % 10 = 3""")
+SELECT o_orderkey AS orderkey, c_nationkey AS nation, s_suppkey AS supplier FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey""")
 def joint_interpretations(spark: SparkSession, d: str) -> DataFrame:
     """Four relations joined on shared slots, in the order that binds most and reads least."""
     F_ = interpret.Factor
@@ -106,10 +106,10 @@ def latest_turn(spark: SparkSession, d: str) -> DataFrame:
     return latest.latest(turns, ["conv_id"], [F.desc("turn"), F.desc_nulls_last("text")]).select("text", "conv_id", "turn")
 
 
-@registered()
+@registered("SELECT concat_ws('/', 'c', conv_id) AS root, string_agg(text, '' ORDER BY turn) AS text FROM (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL) GROUP BY conv_id")
 def materialized_text(spark: SparkSession, d: str) -> DataFrame:
     """Conversations read back from a two-tier structure: conversation, turns, words."""
-    turns = table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", "text").dropDuplicates(["conv_id", "turn"])
+    turns = table(spark, d, "conversations").filter("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     word = F.concat(F.lit("w"), F.sha2("piece", 256))
     turn_name = F.concat_ws("/", F.lit("t"), "conv_id", "turn")
     pieces = turns.select("conv_id", "turn", F.posexplode(F.split("text", "(?<= )")).alias("pos", "piece"))

@@ -45,8 +45,8 @@ def _anchor(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(ANCHOR,)], "entity string")
 
 
-def _all_relations(run_table: DataFrame, anchors: DataFrame) -> DataFrame:
-    parts = [relations.containers(run_table, anchors), relations.neighbours(run_table, anchors, relations.SUCCESSOR), relations.neighbours(run_table, anchors, relations.PREDECESSOR), relations.cooccurrences(run_table, anchors)]
+def _near_relations(run_table: DataFrame, anchors: DataFrame) -> DataFrame:
+    parts = [relations.containers(run_table, anchors), relations.neighbours(run_table, anchors, relations.SUCCESSOR), relations.neighbours(run_table, anchors, relations.PREDECESSOR)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -59,7 +59,8 @@ SELECT target, count(*) AS candidate_count, CAST(sum(multiplicity) AS BIGINT) AS
  CAST(sum(CASE WHEN relation = 8 THEN multiplicity ELSE 0 END) AS BIGINT) AS mass_successor, CAST(sum(CASE WHEN relation = 16 THEN multiplicity ELSE 0 END) AS BIGINT) AS mass_cooccur FROM c GROUP BY target""")
 def response_field_anchor(spark: SparkSession, d: str) -> DataFrame:
     """What stands in which structural relation to the anchor word, with what mass, over all documents."""
-    return response.response_field(_all_relations(_anchored_runs(spark, d), _anchor(spark)))
+    run_table, anchors = _anchored_runs(spark, d), _anchor(spark)
+    return response.response_field(_near_relations(run_table, anchors), relations.cooccurrence_sums(run_table, anchors))
 
 
 @registered("WITH " + _TOKENS + " SELECT container, CAST(sum(run) AS BIGINT) AS occurrences, count(*) AS runs, max(run) AS longest, count(DISTINCT entity) AS entities FROM r GROUP BY ALL")
@@ -112,9 +113,11 @@ def equal_content(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(ident.content_id(F.col("text")).alias("content_id")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.countDistinct("source").alias("sources")).filter("copies > 1")
 
 
-@registered("SELECT source, sha256(array_to_string(list_sort(list(substr(sha256(text), 1, 32))), '')) AS fingerprint FROM documents GROUP BY source")
+@registered("""
+WITH i AS (SELECT source, substr(sha256(text), 1, 32) AS i FROM documents WHERE text IS NOT NULL), n AS (SELECT source, CAST('0x' || substr(i, 1, 15) AS HUGEINT) AS a, CAST('0x' || substr(i, 16, 15) AS HUGEINT) AS b, CAST('0x' || substr(i, 31, 2) AS HUGEINT) AS c FROM i)
+SELECT source, sha256(concat_ws(':', count(*), sum(a), sum(b), sum(c))) AS fingerprint FROM n GROUP BY source""")
 def set_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "documents").select("source", ident.content_id(F.col("text")).alias("id"))
+    ids = table(spark, d, "documents").filter("text is not null").select("source", ident.content_id(F.col("text")).alias("id"))
     return ids.groupBy("source").agg(ident.set_fingerprint(F.col("id")).alias("fingerprint"))
 
 

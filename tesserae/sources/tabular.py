@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,8 +29,8 @@ def _lines(spark: SparkSession, path: str, terminator: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("artifact"))
 
 
-def _unterminated(spark: SparkSession, path: str) -> list[str]:
-    """Files under ``path`` whose last byte is no LF; one seek a file, by Hadoop's file system."""
+def _edges(spark: SparkSession, path: str, head: int = 0) -> list[tuple[str, bytes, int]]:
+    """(name, first ``head`` bytes, last byte) of the files under ``path`` that aren't empty, by Hadoop's file system."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -38,9 +39,9 @@ def _unterminated(spark: SparkSession, path: str) -> list[str]:
         size, name = status.getLen(), status.getPath().getName()
         if status.isFile() and size and name[0] not in "._":
             stream = system.open(status.getPath())
+            first = bytes(stream.readNBytes(min(head, size)))
             stream.seek(size - 1)
-            if stream.read() != 10:
-                out.append(status.getPath().toString())
+            out.append((status.getPath().toString(), first, stream.read()))
             stream.close()
     return out
 
@@ -48,13 +49,18 @@ def _unterminated(spark: SparkSession, path: str) -> list[str]:
 def scan_delimited(spark: SparkSession, path: str, form: Delimited) -> DataFrame:
     """Records of all artifacts under ``path`` as strings, in a plan that splits files of any size.
 
-    Every record ends with the declared terminator, has the declared number of fields, and is UTF-8; a header must
-    equal the declared columns.  Quotes are ordinary characters.
+    Every record ends with the declared terminator, has the declared number of fields, and is UTF-8.  With a header the
+    first record of every file that isn't empty must equal the declared columns; records that equal it further on are
+    data.  Quotes are ordinary characters.
     """
     if len(form.delimiter.encode()) != 1:
         raise ValueError("the delimiter is one byte")
-    if bad := _unterminated(spark, path):
-        raise MalformedArtifact(f"the last record has no terminator: {bad[0]}")
+    header = (form.delimiter.join(form.columns) + TERMINATORS[form.terminator]).encode()
+    for name, first, last in _edges(spark, path, len(header)):
+        if last != 10:
+            raise MalformedArtifact(f"the last record has no terminator: {name}")
+        if form.header and first != header:
+            raise MalformedArtifact(f"the header isn't the declared one: {name}")
     rows = _lines(spark, path, form.terminator)
     fields = F.split("body", f"\\Q{form.delimiter}\\E", -1)
     crlf = form.terminator == "crlf"
@@ -67,11 +73,10 @@ def scan_delimited(spark: SparkSession, path: str, form: Delimited) -> DataFrame
         raise MalformedArtifact(f"{first['fault']}: {first['artifact']}")
     if form.header:
         names = F.array(*map(F.lit, form.columns))
-        with_header = checked.filter(F.col("fields") == names)
-        lacking = checked.select("artifact").distinct().join(with_header.select("artifact").distinct(), "artifact", "left_anti")
-        if not lacking.isEmpty():
-            raise MalformedArtifact("the header isn't the declared one")
-        checked = checked.filter(F.col("fields") != names)
+        # records that equal the header are alike, so it doesn't matter which of a file's is taken away
+        alike = checked.filter(F.col("fields") == names).groupBy("artifact").agg(F.count("*").alias("n"))
+        again = alike.filter("n > 1").select("artifact", F.explode(F.sequence(F.lit(2).cast("bigint"), "n")).alias("k"), names.alias("fields"))
+        checked = checked.filter(F.col("fields") != names).select("artifact", "fields").unionByName(again.select("artifact", "fields"))
     return checked.select("artifact", *[F.element_at("fields", k + 1).alias(c) for k, c in enumerate(form.columns)])
 
 
@@ -109,9 +114,16 @@ class Field(NamedTuple):
 
 
 def scan_fixed_width(spark: SparkSession, path: str, fields: tuple[Field, ...], overflow: str | None = None, extra: int = 0) -> DataFrame:
-    """Fixed-width records by characters; one declared field may overflow by up to ``extra``, witnessed by its excess."""
+    """Fixed-width records by bytes; one declared field may overflow by up to ``extra``, witnessed by its excess.
+
+    The last record needs its terminator too, and every field by itself must be UTF-8, so that a width that cuts a
+    character in two is told.
+    """
     total = sum(f.width for f in fields)
-    rows = _lines(spark, path, "lf").withColumn("excess", F.length("value") - total)
+    for name, _, last in _edges(spark, path):
+        if last != 10:
+            raise MalformedArtifact(f"the last record has no terminator: {name}")
+    rows = _lines(spark, path, "lf").withColumn("value", F.col("value").cast("binary")).withColumn("excess", F.octet_length("value") - total)
     bound = F.lit(extra if overflow else 0)
     if (first := rows.filter((F.col("excess") < 0) | (F.col("excess") > bound)).first()) is not None:
         raise MalformedArtifact(f"record width: {first['artifact']}")
@@ -119,7 +131,10 @@ def scan_fixed_width(spark: SparkSession, path: str, fields: tuple[Field, ...],
     at, shift, out = 1, F.lit(0), []
     for f in fields:
         size = F.lit(f.width) + F.col("excess") if f.name == overflow else F.lit(f.width)
-        out.append(trims[f.trim](F.substring(F.col("value"), F.lit(at) + shift, size)).alias(f.name))
+        out.append((f, F.substring(F.col("value"), F.lit(at) + shift, size).cast("string")))
         at += f.width
         shift = F.col("excess") if f.name == overflow else shift
-    return rows.select("artifact", *out, F.col("excess").alias("overflow_excess"))
+    cut = rows.filter(~functools.reduce(lambda a, b: a & b, [F.is_valid_utf8(c) for _, c in out]))
+    if (first := cut.first()) is not None:
+        raise MalformedArtifact(f"encoding: {first['artifact']}")
+    return rows.select("artifact", *[trims[f.trim](c).alias(f.name) for f, c in out], F.col("excess").alias("overflow_excess"))

@@ -38,7 +38,8 @@ def test_attention_shares_a_basis():
     left, right = rng.normal(size=(5, 2)) @ rng.normal(size=(2, 5)), rng.normal(size=(5, 2)) @ rng.normal(size=(2, 5))
     out = targets.attention(left, right, 4)
     q = out["basis"]
-    assert np.allclose(q.T @ q, np.eye(4)) and np.allclose(out["q"] @ out["k"], q.T @ left @ q)
+    assert np.allclose(q.T @ q, np.eye(4)) and np.allclose(out["q"] @ out["k"], q.T @ left @ q) and np.allclose(out["v"] @ out["o"], q.T @ right @ q)
+    assert not any(np.allclose(out[m], np.eye(4)) for m in "qkvo")
 
 
 def test_paths_rise_from_anchor_to_goal(spark):
@@ -47,6 +48,10 @@ def test_paths_rise_from_anchor_to_goal(spark):
     assert np.argmax(np.diff(v)) == 1  # the least certain step carries the most
     cut = targets.path_values(spark.createDataFrame([(1, [(0, 1)]), (2, [])], "k int, steps array<struct<n:bigint,d:bigint>>")).orderBy("k").collect()
     assert [r["accepted"] for r in cut] == [True, False]
+    steps = [(0, 1), (1, 2), (1, 4), (9, 10)]
+    ends = targets.path_values(spark.createDataFrame([(1, steps), (2, [(1, 1)])], "k int, steps array<struct<n:bigint,d:bigint>>")).orderBy("k").collect()
+    whole = targets.chain_solution(steps)
+    assert abs(ends[0]["anchor_value"] - whole[0]) < 1e-9 and abs(ends[0]["goal_value"] - whole[-1]) < 1e-9 and ends[1]["goal_value"] == 1.0
 
 
 def obligations(spark, rows):

@@ -13,6 +13,50 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
 
+def test_deep_graphs_are_no_cycles(spark):
+    chain = spark.createDataFrame([(k + 1, k) for k in range(12)], "child int, parent int")
+    assert closure.cyclic(chain).isEmpty()
+    nodes = spark.range(13).select(F.col("id").cast("int").alias("node"))
+    assert rows(closure.root_projection(nodes, chain), "node") == [(k, 0, k) for k in range(13)]
+    assert rows(closure.levels(chain.toDF("container", "entity")), "node") == [(k, k) for k in range(13)]
+    loop = chain.unionByName(spark.createDataFrame([(5, 9), (20, 9)], chain.schema))
+    with pytest.raises(closure.CycleError) as found:
+        closure.root_projection(nodes.union(spark.createDataFrame([(20,)], "node int")), loop)
+    path = closure.cycle_path(found.value.nodes)
+    assert path[0] == path[-1] and sorted(path[1:]) == [5, 6, 7, 8, 9] and all(b in {p for c, p in [*((k + 1, k) for k in range(12)), (5, 9)] if c == a} for a, b in zip(path, path[1:], strict=False))
+    with pytest.raises(closure.CycleError):
+        closure.levels(loop.toDF("container", "entity"))
+
+
+def test_compositions_of_prior_results(spark):
+    import hashlib
+
+    made = lambda *ids: hashlib.sha256(("01" + "".join(ids)).encode()).hexdigest()[:32]
+    a, b = "a" * 32, "b" * 32
+    columns = "request string, ordinal int, entity string, prior string"
+    asked = [("x", 1, a, None), ("x", 2, b, None), ("y", 2, a, None), ("y", 1, None, "x"), ("one", 1, None, "y"), ("z", 1, None, "one"), ("z", 2, None, "x")]
+    got = {r["request"]: (r["id"], r["level"]) for r in closure.compositions(spark.createDataFrame(asked, columns)).collect()}
+    x = made(a, b)
+    assert got == {"x": (x, 0), "y": (made(x, a), 1), "one": (made(x, a), 2), "z": (made(made(x, a), x), 3)}
+    for wrong in (("w", 1, None, "w"), ("w", 1, None, "nothing")):
+        with pytest.raises(closure.CycleError):
+            closure.compositions(spark.createDataFrame([*asked, wrong], columns))
+    assert closure.compositions(spark.createDataFrame([], columns)).isEmpty()
+
+
+def test_cooccurrence_sums_are_those_of_the_pairs(spark):
+    import random
+
+    rng = random.Random(9)
+    text = spark.createDataFrame([(k, " ".join(rng.choice("aabcd ") for _ in range(rng.randint(0, 40)))) for k in range(60)], "d int, t string")
+    run_table = occurrence.runs(occurrence.tokens(text, "d", F.col("t"))).cache()
+    for anchors in (["a"], ["a", "c"], ["z"]):
+        wanted = spark.createDataFrame([(x,) for x in anchors], "entity string")
+        slow = response.response_field(relations.cooccurrences(run_table, wanted))
+        fast = response.response_field(relations.cooccurrences(run_table, wanted).limit(0), relations.cooccurrence_sums(run_table, wanted))
+        assert rows(fast, "target") == rows(slow, "target")
+
+
 @pytest.fixture(scope="module")
 def run_table(spark):
     text = spark.createDataFrame([(1, "a b b b c"), (2, "b a  a b"), (3, "")], "d int, t string")

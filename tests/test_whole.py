@@ -1,7 +1,6 @@
 """Queries that must read all of their input, held against plain Python over the smallest tables or a small fixture."""
 
 import hashlib
-import random
 import re
 from collections import Counter
 from pathlib import Path
@@ -9,7 +8,6 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import functions as F
 
-from tesserae.llm import html_blocks, language_mixture
 from tesserae.operators import cognition
 from tesserae.plans import catalog
 
@@ -123,32 +121,3 @@ def test_every_incoming_row_is_looked_at(spark):
     probes = Counter(w for d, w in docs if d % 10)
     assert any(d % 5 for d, _ in docs)
     assert sorted(found(spark, "reverse_lookup")) == sorted((w[:32], first[w], n) for w, n in probes.items())
-
-
-def test_op4_block_sums_decide_around_articles():
-    """A teaser in an article element doesn't replace a body in a div, links between text stay, and a list of links in an article does not surge."""
-    long = ("Some long sentence of real prose goes here. " * 4).strip()
-    teaser = "<article><h2>Another story</h2><p>Read what else there is today in this short teaser.</p></article>"
-    page = f"<body><div><p>{long}</p><p><a href=1>a line of links only</a></p><p>{long} End.</p></div><nav>Menu</nav>{teaser}</body>"
-    assert html_blocks.main_text(page).split("\n") == [long, "a line of links only", f"{long} End.", "Another story", "Read what else there is today in this short teaser."]
-    links = "".join(f"<li><a href={k}>link {k}</a></li>" for k in range(6))
-    assert html_blocks.main_text(f"<article><ul>{links}</ul><p>{long}</p></article>") == long
-
-
-def test_texts_in_no_learned_language_are_rejected(spark):
-    rng = random.Random(7)
-
-    def tongue(letters):
-        parts = [a + b for a in rng.sample(letters, 6) for b in rng.sample(letters, 3)]
-        words = ["".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(150)]
-        return lambda n: " ".join(rng.choices(words, k=n))
-
-    one, two, foreign = tongue("abcdefghijkl"), tongue("lmnopqrstuv"), tongue("abcdefghijklmnopqrstuvwxyz")
-    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuv", k=5)) for _ in range(200))
-    train = [(k, t(150), lang) for k in range(80) for t, lang in ((one, "a"), (two, "b"))]
-    model = language_mixture.learn(spark.createDataFrame(train, "doc_id bigint, text string, lang string"))
-    assert (model.usual > -20).all()
-    good = [one(200), two(200), one(3), two(1), one(100) + " " + two(80)]
-    bad = [foreign(200), noise, "\u0434\u043e\u043c \u043c\u0438\u0440 \u043b\u0435\u0441 " * 30, "", "12 34"]
-    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string")
-    assert sorted(r["doc_id"] for r in language_mixture.accepted(docs, model).collect()) == list(range(len(good)))

@@ -85,6 +85,32 @@ def cooccurrence_sums(run_table: DataFrame, anchors: DataFrame) -> DataFrame:
     return others.unionByName(own)
 
 
+def anchor_sums(run_table: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The container, neighbour and co-occurrence relations of anchors in one pass, added up per run.
+
+    Columns as those of ``cooccurrence_sums``.  Three windows over one partitioning by container, and nothing is joined
+    but the anchors.
+    """
+    marked = run_table.join(anchors.select("entity").distinct().withColumn("_anchor", F.lit(1)), "entity", "left")
+    whole, up, down = Window.partitionBy("container"), Window.partitionBy("container").orderBy("ordinal"), Window.partitionBy("container").orderBy(F.desc("ordinal"))
+    at = F.when(F.col("_anchor") == 1, F.col("ordinal"))
+    near = lambda order: F.abs(F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)) - F.col("ordinal"))
+    after = F.when(F.lead("ordinal").over(up) == F.col("ordinal") + F.col("run"), F.lead("entity").over(up))
+    before = F.when(F.lag(F.col("ordinal") + F.col("run")).over(up) == F.col("ordinal"), F.lag("entity").over(up))
+    seen = marked.withColumn("_anchors", F.count("_anchor").over(whole)).filter("_anchors > 0").withColumn("_near_up", near(up)).withColumn("_next", after).withColumn("_last", before).withColumn("_near_down", near(down))
+    times = (F.col("_anchors") - F.coalesce("_anchor", F.lit(0))).cast("bigint")
+
+    def sums(target: Column, count: Column, multiplicity: Column, gap: Column, relation: int) -> Column:
+        return F.struct(target.cast("string").alias("target"), count.cast("bigint").alias("count"), multiplicity.cast("bigint").alias("multiplicity"), gap.cast("bigint").alias("gap"), F.lit(relation).alias("relation"))
+
+    one, zero, run, entity = F.lit(1), F.lit(0), F.col("run"), F.col("entity")
+    others = F.when(times > 0, sums(entity, times, times * run, F.least("_near_up", "_near_down"), COOCCUR))
+    own = [sums(F.col("container"), one, run, zero, CONTAINER), F.when(F.col("_next").isNotNull(), sums(F.col("_next"), one, one, zero, SUCCESSOR)), F.when(F.col("_last").isNotNull(), sums(F.col("_last"), one, one, zero, PREDECESSOR))]
+    inner = [F.when(run > 1, sums(entity, one, run - 1, gap, relation)) for relation, gap in ((SUCCESSOR, zero), (PREDECESSOR, zero), (COOCCUR, one))]
+    each = F.when(F.col("_anchor") == 1, F.array(others, *own, *inner)).otherwise(F.array(others))
+    return seen.select("container", F.explode(F.filter(each, lambda s: s.isNotNull())).alias("s")).select("s.target", "container", "s.count", "s.multiplicity", "s.gap", "s.relation")
+
+
 def union_of(*providers: DataFrame) -> DataFrame:
     """The set union of providers' candidates: complete equal candidates collapse."""
     return reduce(DataFrame.unionByName, providers).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.dimensions import NEGATIVE_TESTIMONY
+from tesserae.functions.ident import record_id, set_fingerprint
 from tesserae.functions.scalars import reduced
 
 ENDPOINT, PRESENT, RETIRED = 1, 2, 4
@@ -54,9 +56,15 @@ def classify_presence(incoming: DataFrame, stored: DataFrame, key: str, witness:
     return joined.withColumn("class", F.when(F.col("_key").isNull(), 0).when(F.col("_witness").eqNullSafe(F.col(witness)), 1).otherwise(2)).drop("_key", "_witness")
 
 
+def unique(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key: the one whose columns come first as JSON."""
+    row = F.struct(*rows.columns)
+    return rows.groupBy(*key).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+
+
 def missing(incoming: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
-    """Rows to append so that a replay writes nothing."""
-    return incoming.dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+    """Rows to append so that a replay writes nothing; of incoming rows that share a key, see ``unique``."""
+    return unique(incoming.join(stored.select(*key), key, "left_anti").select(*incoming.columns), key)
 
 
 def verified_count(incoming: DataFrame, stored: DataFrame) -> int:
@@ -103,6 +111,13 @@ def testimony_faults(rows: DataFrame, boundary: str) -> DataFrame:
     return rows.withColumn("fault", fault).filter("fault is not null")
 
 
+def testimony_receipts(rows: DataFrame, boundary: str) -> DataFrame:
+    """Per boundary its records, samples, uncertain and negative ones, and a fingerprint of the testimony it holds."""
+    totals = [F.count("*").alias("records"), F.sum("sample_count").alias("samples"), F.count_if(F.col("uncertainty_numerator") != 0).alias("uncertain"), F.count_if(F.col("disposition").isin(*NEGATIVE_TESTIMONY)).alias("negative")]
+    one = record_id("testimony", *map(F.col, ("testimony_id", "source_type", "outcome_type", "disposition", "uncertainty_numerator", "uncertainty_denominator", "sample_count")))
+    return rows.groupBy(boundary).agg(*totals, set_fingerprint(one).alias("fingerprint"))
+
+
 def admission_faults(requests: DataFrame, occurrences: DataFrame, claims: DataFrame, testimony: DataFrame, key: str) -> DataFrame:
     """Admissions whose occurrences, claims and bound testimony don't agree; each side is counted before it is joined.
 

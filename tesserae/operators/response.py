@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,13 @@ def counted(candidates: DataFrame) -> DataFrame:
     return candidates.select("target", "container", F.lit(1).cast("bigint").alias("count"), "multiplicity", "gap", "relation")
 
 
-def response_field(candidates: DataFrame, *sums: DataFrame) -> DataFrame:
+def response_field(candidates: DataFrame | None, *sums: DataFrame) -> DataFrame:
     """Per target: candidates, multiplicity, least gap, masks, distinct containers and mass by relation channel.
 
     ``sums`` are candidates that are added up already, as ``counted`` has them.  The fold has two levels, by target and
     container and then by target, so that containers are counted without a distinct count.
     """
-    rows = counted(candidates)
-    for more in sums:
-        rows = rows.unionByName(more)
+    rows = reduce(DataFrame.unionByName, [*([] if candidates is None else [counted(candidates)]), *sums])
     bits = {bit: name for bit, name in RELATIONS.items() if bit <= 16}
     channels = [F.sum(F.when(F.col("relation") == bit, F.col("multiplicity")).otherwise(0)).alias(f"mass_{name}") for bit, name in bits.items()]
     held = rows.groupBy("target", "container").agg(F.sum("count").alias("count"), F.sum("multiplicity").alias("multiplicity"), F.min("gap").alias("gap"), F.bit_or("relation").alias("relation"), *channels)

@@ -22,6 +22,11 @@ def edge_cost(weights: list[int], components: list[str]) -> Column:
     return sum(terms[1:], terms[0]).cast("decimal(38,0)")
 
 
+def path_roots(steps: Column) -> Column:
+    """How many distinct roots of evidence the steps (structs with a root) of one path rest on."""
+    return F.size(F.array_distinct(F.filter(F.transform(steps, lambda s: s["root"]), lambda r: r.isNotNull())))
+
+
 class Found(NamedTuple):
     paths: DataFrame
     disposition: str

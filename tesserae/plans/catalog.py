@@ -31,7 +31,7 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tesserae.plans import cognition, ingest, numeric, product, resolution, star, streams, substrate, text  # noqa: F401
+    from tesserae.plans import admission, cognition, ingest, numeric, product, resolution, star, streams, substrate, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

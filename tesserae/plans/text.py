@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import ident
-from tesserae.operators import closure, occurrence, relations, response
+from tesserae.operators import occurrence, relations, response
 from tesserae.plans.catalog import registered, table
 
 #: The word whose neighbourhood the flagship query asks for.
@@ -35,32 +35,23 @@ def document_runs(spark: SparkSession, d: str) -> DataFrame:
 def _anchored_runs(spark: SparkSession, d: str) -> DataFrame:
     """The runs of the documents that have the anchor, which are all that its relations touch.
 
-    They are told from the others before anything is exploded, and kept, since several relations read them.
+    They are told from the others before anything is exploded.
     """
     docs = table(spark, d, "documents").filter(F.array_contains(F.split(F.lower("text"), " "), ANCHOR))
-    return closure.checkpointed(occurrence.runs(occurrence.tokens(docs, "doc_id", F.lower("text"))))
+    return occurrence.runs(occurrence.tokens(docs, "doc_id", F.lower("text")))
 
 
 def _anchor(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(ANCHOR,)], "entity string")
 
 
-def _near_relations(run_table: DataFrame, anchors: DataFrame) -> DataFrame:
-    parts = [relations.containers(run_table, anchors), relations.neighbours(run_table, anchors, relations.SUCCESSOR), relations.neighbours(run_table, anchors, relations.PREDECESSOR)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 @registered("WITH " + _CANDIDATES + """
 SELECT target, count(*) AS candidate_count, CAST(sum(multiplicity) AS BIGINT) AS multiplicity, CAST(min(gap) AS BIGINT) AS min_gap, CAST(bit_or(relation) AS INTEGER) AS relation_mask, count(DISTINCT container) AS containers,
  CAST(sum(CASE WHEN relation = 1 THEN multiplicity ELSE 0 END) AS BIGINT) AS mass_container, CAST(0 AS BIGINT) AS mass_constituent, CAST(sum(CASE WHEN relation = 4 THEN multiplicity ELSE 0 END) AS BIGINT) AS mass_predecessor,
  CAST(sum(CASE WHEN relation = 8 THEN multiplicity ELSE 0 END) AS BIGINT) AS mass_successor, CAST(sum(CASE WHEN relation = 16 THEN multiplicity ELSE 0 END) AS BIGINT) AS mass_cooccur FROM c GROUP BY target""")
 def response_field_anchor(spark: SparkSession, d: str) -> DataFrame:
     """What stands in which structural relation to the anchor word, with what mass, over all documents."""
-    run_table, anchors = _anchored_runs(spark, d), _anchor(spark)
-    return response.response_field(_near_relations(run_table, anchors), relations.cooccurrence_sums(run_table, anchors))
+    return response.response_field(None, relations.anchor_sums(_anchored_runs(spark, d), _anchor(spark)))
 
 
 @registered("WITH " + _TOKENS + " SELECT container, CAST(sum(run) AS BIGINT) AS occurrences, count(*) AS runs, max(run) AS longest, count(DISTINCT entity) AS entities FROM r GROUP BY ALL")

@@ -110,13 +110,34 @@ def test_packages_are_verified():
         package.decode(data, "0" * 64)
 
 
-def test_stateful_standings_ignore_replays(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 0, 1.0), (1, 0, 1.0), (2, 0, 0.0)], "lane bigint, period bigint, score double")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # the same periods again
-    spark.createDataFrame([(1, 1, 0.0)], rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+def test_stateful_standings_follow_the_laws_of_a_period(spark, tmp_path):
+    import os
+
+    from tesserae.operators import standing
+
+    others = {90: (1400.0, 30.0), 91: (1550.0, 100.0), 92: (1700.0, 300.0)}
+    events = [(1, 0, 1.0, 90), (1, 0, 0.0, 91), (2, 0, 0.5, 92), (1, 0, 0.0, 92), (1, 2, 1.0, 91), (1, 0, 1.0, 90), (2, 2, 1.0, 90)]
+    files = [events[:3], events[3:4], events[4:5], events[5:6], events[6:]]  # period 0 of lane 1 comes in two batches, and once more too late
+    columns = "lane bigint, period bigint, score double, opponent_rating double, opponent_deviation double"
+    folder = tmp_path / "in"
+    for k, part in enumerate(files):
+        spark.createDataFrame([(lane, p, s, *others[o]) for lane, p, s, o in part], columns).coalesce(1).write.mode("append").parquet(str(folder))
+        for f in folder.glob("*.parquet"):
+            if not (tmp_path / f"seen-{f.name}").exists():
+                (tmp_path / f"seen-{f.name}").touch()
+                os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(str(folder))
     seen = {}
-    keep = lambda batch, _: seen.update({r["lane"]: (r["rating"], r["events"]) for r in batch.collect()})
+    keep = lambda batch, _: seen.update({r["lane"]: r for r in batch.collect()})
     standing_state.running_standings(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert seen[2] == (1495.0, 1) and seen[1] in ((1505.0, 3), (1495.0, 1))  # files of one moment may come in any order
+
+    state = "lane bigint, rating double, deviation double, volatility double"
+    fixed = [(o, r, d, 0.06) for o, (r, d) in others.items()]
+    now = [(lane, 1500.0, 350.0, 0.06) for lane in (1, 2)]
+    for period in range(3):
+        games = spark.createDataFrame([(lane, o, s) for k, (lane, p, s, o) in enumerate(events) if p == period and k != 5], "lane bigint, opponent bigint, score double")
+        after = standing.rate_period(spark.createDataFrame(now + fixed, state), games)
+        now = [tuple(r) for r in after.filter("lane < 90").orderBy("lane").collect()]
+    for lane, rating, deviation, volatility in now:
+        assert np.allclose([seen[lane]["rating"], seen[lane]["deviation"], seen[lane]["volatility"]], [rating, deviation, volatility], rtol=1e-9)
+    assert (seen[1]["events"], seen[1]["late"], seen[2]["events"], seen[2]["late"]) == (4, 1, 2, 0)

@@ -1,3 +1,4 @@
+import numpy as np
 import math
 import struct
 
@@ -69,6 +70,13 @@ def test_carrier_vector_and_round_trip():
         carrier.decode(bytes(32))
 
 
+def test_hilbert_keys_are_those_of_single_points():
+    rng = np.random.default_rng(4)
+    for bits in (1, 2, 8, 32):
+        points = rng.integers(0, 1 << bits, (200, 4), dtype=np.int64)
+        assert [int(k, 16) for k in scalars.hilbert_keys(points, bits)] == [scalars.hilbert_index(list(map(int, p)), bits) for p in points]
+
+
 def test_hilbert_curve_visits_neighbours():
     at = sorted(((scalars.hilbert_index([x, y, z, w], 2), (x, y, z, w)) for x in range(4) for y in range(4) for z in range(4) for w in range(4)))
     assert [k for k, _ in at] == list(range(256))

@@ -55,6 +55,9 @@ def test_cooccurrence_sums_are_those_of_the_pairs(spark):
         slow = response.response_field(relations.cooccurrences(run_table, wanted))
         fast = response.response_field(relations.cooccurrences(run_table, wanted).limit(0), relations.cooccurrence_sums(run_table, wanted))
         assert rows(fast, "target") == rows(slow, "target")
+        near = [relations.containers(run_table, wanted), relations.neighbours(run_table, wanted, relations.SUCCESSOR), relations.neighbours(run_table, wanted, relations.PREDECESSOR), relations.cooccurrences(run_table, wanted)]
+        pairs = near[0].unionByName(near[1]).unionByName(near[2]).unionByName(near[3])
+        assert rows(response.response_field(None, relations.anchor_sums(run_table, wanted)), "target") == rows(response.response_field(pairs), "target")
 
 
 @pytest.fixture(scope="module")

@@ -1,7 +1,7 @@
-import numpy as np
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

@@ -292,7 +292,7 @@ class Encoder:
     worker's memory doesn't grow with its input.
     """
 
-    def __init__(self, pieces: MatrixBPE, limit: int = 300_000, pool: int = 3_000_000):
+    def __init__(self, pieces: MatrixBPE, limit: int = 600_000, pool: int = 3_000_000):
         self.pieces, self.limit, self.pool_limit = pieces, limit, pool
         self._forget()
 

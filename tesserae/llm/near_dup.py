@@ -92,11 +92,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                 lists = lambda x, n: pa.ListArray.from_arrays(pa.array(at * n), pa.array(x.ravel()))  # noqa: B023, E731
                 words = [b" ".join(t.lower().split()) for t in texts[a:b]]
                 classes = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in words]
-                content = [hashlib.sha256(t).hexdigest() for t in texts[a:b]]
-                columns = [batch.column(0).slice(a, b - a), pa.array(content, pa.string()), pa.array(count), pa.array(classes, pa.binary()), lists(band_keys(low), BANDS), lists(packed_bits(low), _WORDS)]
+                content = [hashlib.sha256(t).digest()[:16] for t in texts[a:b]]
+                columns = [batch.column(0).slice(a, b - a), pa.array(content, pa.binary()), pa.array(count), pa.array(classes, pa.binary()), lists(band_keys(low), BANDS), lists(packed_bits(low), _WORDS)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "content", "n_shingles", "class", "bands", "bits"])
 
-    return docs.mapInArrow(run, "id bigint, content string, n_shingles bigint, class binary, bands array<bigint>, bits array<bigint>")
+    return docs.mapInArrow(run, "id bigint, content binary, n_shingles bigint, class binary, bands array<bigint>, bits array<bigint>")
+
+
+def content_of(text: Column) -> Column:
+    """The digest by which texts are told apart, the same as ``signatures`` gives."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -262,7 +267,7 @@ def _judged(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     met = pairs.join(bits.toDF("rep", "rep_bits"), "rep").join(bits.toDF("pivot", "pivot_bits"), "pivot")
     likely = checkpointed(met.filter(estimate(F.col("rep_bits"), F.col("pivot_bits")) >= LEAST_ESTIMATE).select("pivot", "rep", "n"))
     wanted = reps.select("rep", "least", "content").join(members.select("rep").distinct(), "rep", "left_semi")
-    hashed = named.select("id", F.sha2("text", 256).alias("content"), "text")
+    hashed = named.select("id", content_of(F.col("text")).alias("content"), "text")
     texts = written(hashed.join(wanted, (F.col("id") == F.col("least")) & (hashed["content"] == wanted["content"])).select("rep", "text"), "near-dup-texts")
     links = checkpointed(confirmed(likely, texts))
     settled = components(links)
@@ -271,7 +276,8 @@ def _judged(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     # a component goes by its least id
     linked_reps = reps.select("rep", "least").join(joined, F.col("rep") == F.col("node")).select("rep", "component", "least")
-    names = linked_reps.groupBy("component").agg(F.min("least").alias("name"))
+    # the few names are written first: a join of plain exchanges can have a hot component split
+    names = checkpointed(linked_reps.groupBy("component").agg(F.min("least").alias("name")))
     named_reps = linked_reps.join(names, "component").select(F.col("rep").alias("node"), "name")
     found = reps.select("class", "rep", "least").join(named_reps, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("of_class"), F.coalesce("name", "least").alias("of_component"))
     out = signed.select("id", "content", "n_shingles", "class").join(found, F.col("class") == F.col("of_class"), "left")
@@ -294,12 +300,13 @@ def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """
     judged = written(_judged(docs, id_column, text_column).filter("id is not null"), "near-dup-judged")
     each = judged.groupBy("id", "content").agg(F.first("component").alias("component"), F.first("n_shingles").alias("n"), F.count("*").alias("times"))
-    chosen = each.filter("n > 0").groupBy("component").agg(F.min(F.struct("id", "content")).alias("best"))
-    kept = (F.col("n") == 0) | (F.struct("id", "content") == F.col("best"))
-    fates = each.join(chosen, "component", "left").select(F.col("id").alias("_id"), F.col("content").alias("_content"), kept.alias("stays"), "times").filter("not stays or times > 1")
-    # written, so that its size is known: Spark broadcasts it only under its own threshold
-    fates = written(fates, "near-dup-fates")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_column}`").cast("bigint").alias("_key"), F.sha2(whole_text(f"`{text_column}`"), 256).alias("_digest"))
+    # a component goes by its least id, so rows of that id alone can stay for it: no join by component, which may be hot
+    chosen = each.filter("n > 0 and id = component").groupBy(F.col("id").alias("head")).agg(F.min("content").alias("best"))
+    kept = (F.col("n") == 0) | (F.col("id") == F.col("component")) & (F.col("content") == F.col("best"))
+    fates = each.join(chosen, F.col("id") == F.col("head"), "left").select(F.col("id").alias("_id"), F.col("content").alias("_content"), kept.alias("stays"), "times").filter("not stays or times > 1")
+    # hashed: at no size are whole texts sorted, and the plan is the same at every size
+    fates = written(fates, "near-dup-fates").hint("shuffle_hash")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_column}`").cast("bigint").alias("_key"), content_of(whole_text(f"`{text_column}`")).alias("_digest"))
     met = rows.join(fates, (F.col("_key") == F.col("_id")) & (F.col("_digest") == F.col("_content")), "left")
     single = met.filter("_id is null").select("row")
     if fates.filter("stays").isEmpty():

@@ -69,6 +69,110 @@ def cheapest_paths(edges: DataFrame, anchors: DataFrame, goals: DataFrame, max_d
     return Found(best, disposition, level)
 
 
+class Budget(NamedTuple):
+    """What a typed search may use: edges in a path, states expanded, labels open at once."""
+
+    depth: int
+    expanded: int = 1 << 40
+    open: int = 1 << 40
+
+
+class Receipt(NamedTuple):
+    paths: DataFrame
+    disposition: str
+    optimal: bool
+    expanded: int
+    emitted: int
+    batches: int
+
+
+def _worse(labels: DataFrame, than: DataFrame, strictly: bool) -> DataFrame:
+    """Labels without those of which another one of the state is at least as cheap and as shallow."""
+    other = than.select(F.col("state").alias("_s"), F.col("cost").alias("_c"), F.col("depth").alias("_d"))
+    no_worse = (F.col("state") == F.col("_s")) & (F.col("_c") <= F.col("cost")) & (F.col("_d") <= F.col("depth"))
+    if strictly:
+        no_worse = no_worse & ((F.col("_c") < F.col("cost")) | (F.col("_d") < F.col("depth")))
+    return labels.join(other, no_worse, "left_anti")
+
+
+def _settled(paths: int, wanted: int, whole: bool, exhausted: bool, provider: str | None) -> str:
+    """The disposition of a search that has ended: what was found first, then why nothing was."""
+    if paths >= wanted and whole and not exhausted:
+        return "complete"
+    if paths:
+        return "upper_bound" if paths >= wanted else "partial"
+    if exhausted:
+        return "exhausted"
+    if not whole:
+        return "incomplete_boundary"
+    return provider or "no_admissible_path"
+
+
+def best_first(edges: DataFrame, anchors: DataFrame, goals: DataFrame, budget: Budget, paths: int = 1, heuristic: DataFrame | None = None, reopen: bool = True, whole: bool = True, provider: str | None = None) -> Receipt:
+    """The ``paths`` first paths from any anchor (state) to any goal (state), by cost plus ``heuristic`` (state, estimate).
+
+    Every round expands all open labels of the least priority at once: one join with ``edges`` (source, target, cost,
+    none negative).  Goals end a path and aren't expanded.  A label is dropped if another one of its state, open or
+    expanded, is no worse in cost and depth; without ``reopen`` also if its state was expanded before.  States that
+    ``heuristic`` lacks are estimated at 0.  ``whole`` says that the edges are all there are: without it, paths are
+    upper bounds only.  ``provider`` is the disposition of the edges' source, given where nothing was found.  A budget
+    that runs out shows in the disposition.  Ties among the last paths are broken by depth, state and path.
+
+    Only rows of the labels' own tables are rewritten: open ones each round, expanded ones once.
+    """
+    goal_states = checkpointed(goals.select(F.col("state")).distinct())
+    marked = goal_states.select(F.col("state").alias("_g"), F.lit(True).alias("goal"))
+    guess = None if heuristic is None else heuristic.groupBy(F.col("state").alias("_h")).agg(F.min("estimate").cast("decimal(38,0)").alias("estimate"))
+
+    def ranked(labels: DataFrame) -> DataFrame:
+        known = labels.join(marked, F.col("state") == F.col("_g"), "left").drop("_g").withColumn("goal", F.coalesce("goal", F.lit(False)))
+        if guess is None:
+            return known.withColumn("priority", F.col("cost"))
+        return known.join(guess, F.col("state") == F.col("_h"), "left").withColumn("priority", (F.col("cost") + F.coalesce("estimate", F.lit(0))).cast("decimal(38,0)")).drop("_h", "estimate")
+
+    start = anchors.select("state").distinct().select("state", F.lit(0).cast("decimal(38,0)").alias("cost"), F.lit(0).alias("depth"), F.array(F.col("state").cast("string")).alias("path"))
+    waiting = checkpointed(ranked(start))
+    closed = waiting.limit(0)
+    found = closed
+    count = expanded = emitted = batches = 0
+    exhausted = False
+    while count < paths:
+        facts = waiting.agg(F.min("priority").alias("p"), F.count("*").alias("n")).first()
+        if not facts["n"]:
+            break
+        if facts["n"] > budget.open:
+            exhausted = True
+            break
+        batches += 1
+        batch = waiting.filter(F.col("priority") == F.lit(facts["p"]))
+        rest = waiting.filter(F.col("priority") != F.lit(facts["p"]))
+        reached = batch.filter("goal")
+        here = reached.count()
+        if here:
+            found = found.unionByName(reached)
+            count += here
+            if count >= paths:
+                break
+        step = batch.filter(~F.col("goal") & (F.col("depth") < budget.depth))
+        width = step.count()
+        if expanded + width > budget.expanded:
+            exhausted = True
+            break
+        expanded += width
+        closed = closed.unionByName(checkpointed(batch))
+        pairs = step.join(edges.select("source", "target", F.col("cost").alias("_cost")), F.col("state") == F.col("source"))
+        ahead = pairs.filter(~F.array_contains("path", F.col("target").cast("string"))).select(F.col("target").alias("state"), (F.col("cost") + F.col("_cost")).cast("decimal(38,0)").alias("cost"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.col("target").cast("string"))).alias("path"))
+        ahead = _worse(_undominated(ahead), closed.unionByName(rest), False)
+        if not reopen:
+            ahead = ahead.join(closed.filter("not goal").select(F.col("state").alias("_s")).distinct(), F.col("state") == F.col("_s"), "left_anti")
+        fresh = checkpointed(ranked(ahead))
+        emitted += fresh.count()
+        waiting = checkpointed(_worse(rest, fresh, True).unionByName(fresh))
+    best = found.orderBy("cost", "depth", "state", "path").limit(paths).select("state", "cost", "depth", "path")
+    disposition = _settled(min(count, paths), paths, whole, exhausted, provider)
+    return Receipt(best, disposition, disposition == "complete", expanded, emitted, batches)
+
+
 def reach(edges: DataFrame, anchors: DataFrame, max_depth: int) -> DataFrame:
     """Breadth-first scan: (state, depth) of everything within ``max_depth`` edges, at its least depth."""
     found = frontier = checkpointed(anchors.select("state").distinct().withColumn("depth", F.lit(0)))

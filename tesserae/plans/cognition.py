@@ -42,13 +42,13 @@ def verified_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _JOBS = """
-k AS (SELECT CAST(s_suppkey % 8 AS BIGINT) AS i, CAST((s_suppkey + 1) % 8 AS BIGINT) AS j, CAST(1 + s_suppkey % 3 AS DOUBLE) AS a, -1.0::DOUBLE AS b, CAST(1 + s_nationkey % 4 AS DOUBLE) AS w, 1 << (s_suppkey % 6) AS family, 1 << (s_nationkey % 5) AS source, s_suppkey AS evidence FROM supplier),
+k AS (SELECT CAST(s_suppkey * 2 AS BIGINT) AS i, CAST(s_nationkey * 2 + 1 AS BIGINT) AS j, CAST(1 + s_suppkey % 3 AS DOUBLE) AS a, -1.0::DOUBLE AS b, CAST(1 + s_nationkey % 4 AS DOUBLE) AS w, 1 << (s_suppkey % 6) AS family, 1 << (s_nationkey % 5) AS source, s_suppkey AS evidence FROM supplier),
 x AS (SELECT * FROM (VALUES ('even', 21, 31), ('odd', 42, 31), ('first', 63, 1)) AS s(slot, families, sources)), t AS (SELECT slot, k.* FROM k JOIN x ON k.family & x.families <> 0 AND k.source & x.sources <> 0)"""
 
 
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    rows = table(spark, d, "supplier").select((k % 8).cast("bigint").alias("i"), ((k + 1) % 8).cast("bigint").alias("j"), (1 + k % 3).cast("double").alias("a"), F.lit(-1.0).alias("b"), (1 + n % 4).cast("double").alias("w"), F.pow(F.lit(2), k % 6).cast("int").alias("family"), F.pow(F.lit(2), n % 5).cast("int").alias("source"), k.alias("evidence"))
+    rows = table(spark, d, "supplier").select((k * 2).cast("bigint").alias("i"), (n * 2 + 1).cast("bigint").alias("j"), (1 + k % 3).cast("double").alias("a"), F.lit(-1.0).alias("b"), (1 + n % 4).cast("double").alias("w"), F.pow(F.lit(2), k % 6).cast("int").alias("family"), F.pow(F.lit(2), n % 5).cast("int").alias("source"), k.alias("evidence"))
     return targets.scope_plan(spark.createDataFrame([("even", 21, 31), ("odd", 42, 31), ("first", 63, 1)], "slot string, families int, sources int"), rows)
 
 

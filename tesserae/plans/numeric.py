@@ -54,13 +54,14 @@ def standing_period(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CONSTRAINTS = """
-k AS (SELECT CAST(s_suppkey % 20 AS BIGINT) AS i, CAST((s_suppkey + 1 + s_nationkey) % 20 AS BIGINT) AS j, 1 + s_suppkey % 3 AS a, -1 - s_suppkey % 2 AS b, s_suppkey % 5 AS c, 1 + s_nationkey % 4 AS w, s_suppkey FROM supplier)"""
+k AS (SELECT CAST(c_custkey * 2 AS BIGINT) AS i, CAST(c_nationkey * 2 + 1 AS BIGINT) AS j, 1 + c_custkey % 3 AS a, -1 - c_custkey % 2 AS b, c_custkey % 5 AS c, 1 + c_nationkey % 4 AS w FROM customer)"""
 
 
 def _constraints(spark: SparkSession, d: str) -> DataFrame:
-    k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    whole = [(k % 20).cast("bigint").alias("i"), ((k + 1 + n) % 20).cast("bigint").alias("j"), (1 + k % 3).cast("double").alias("a"), (-1 - k % 2).cast("double").alias("b"), (k % 5).cast("double").alias("c"), (1 + n % 4).cast("double").alias("w"), k.alias("evidence")]
-    return table(spark, d, "supplier").select(*whole)
+    """Every customer, bound to its nation: as many unknowns as there are customers and nations."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    whole = [(k * 2).cast("bigint").alias("i"), (n * 2 + 1).cast("bigint").alias("j"), (1 + k % 3).cast("double").alias("a"), (-1 - k % 2).cast("double").alias("b"), (k % 5).cast("double").alias("c"), (1 + n % 4).cast("double").alias("w"), k.alias("evidence")]
+    return table(spark, d, "customer").select(*whole)
 
 
 @registered("WITH " + _CONSTRAINTS + """, e AS (SELECT i AS row, i AS col, w * a * a AS v FROM k UNION ALL SELECT i, j, w * a * b FROM k UNION ALL SELECT j, i, w * a * b FROM k UNION ALL SELECT j, j, w * b * b FROM k)
@@ -69,11 +70,12 @@ def dense_operator(spark: SparkSession, d: str) -> DataFrame:
     return linear.matrix(_constraints(spark, d))
 
 
-@registered("WITH " + _CONSTRAINTS + """, x AS (SELECT CAST(range AS BIGINT) AS k, range % 7 - 3 AS v FROM range(20)), r AS (SELECT i, j, a, b, w, a * p.v + b * q.v AS r FROM k JOIN x p ON i = p.k JOIN x q ON j = q.k),
+@registered("WITH " + _CONSTRAINTS + """, r AS (SELECT i, j, a, b, w, a * (i % 7 - 3) + b * (j % 7 - 3) AS r FROM k),
 y AS (SELECT i AS k, a * w * r AS y FROM r UNION ALL SELECT j, b * w * r FROM r) SELECT k, CAST(sum(y) AS DOUBLE) AS y FROM y GROUP BY k""")
 def applied_operator(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.range(20).select(F.col("id").alias("k"), (F.col("id") % 7 - 3).cast("double").alias("value"))
-    return linear.apply(_constraints(spark, d), x)
+    constraints = _constraints(spark, d)
+    keys = constraints.select(F.col("i").alias("k")).unionByName(constraints.select(F.col("j").alias("k"))).distinct()
+    return linear.apply(constraints, keys.select("k", (F.col("k") % 7 - 3).cast("double").alias("value")))
 
 
 @registered("WITH " + _CONSTRAINTS + ", e AS (SELECT i AS k, -w * c * a AS v FROM k UNION ALL SELECT j, -w * c * b FROM k) SELECT k, CAST(sum(v) AS DOUBLE) AS value FROM e GROUP BY k")
@@ -81,11 +83,15 @@ def operator_right_side(spark: SparkSession, d: str) -> DataFrame:
     return linear.right_side(_constraints(spark, d))
 
 
-@registered()
+@registered("WITH " + _CONSTRAINTS + """, g AS (SELECT * FROM (VALUES (1, 0.0, 10.0), (27, 1.0, 10.0)) AS g(j, g, r)),
+n AS (SELECT j, sum(w * b * b * 0.5 / (w * a * a + 0.5)) AS s, -sum(w * b * c * 0.5 / (w * a * a + 0.5)) AS t FROM k GROUP BY j),
+x AS (SELECT CAST(coalesce(n.j, g.j) AS BIGINT) AS k, CAST((coalesce(t, 0) + coalesce(g * r, 0)) / (coalesce(s, 0) + coalesce(r, 0) + 0.5) AS DOUBLE) AS value FROM n FULL JOIN g ON n.j = g.j)
+SELECT k, round(value, 4) AS value, 'converged' AS disposition FROM x UNION ALL SELECT i, round(-w * a * (b * x.value + c) / (w * a * a + 0.5), 4), 'converged' FROM k JOIN x ON x.k = k.j""")
 def boundary_solution(spark: SparkSession, d: str) -> DataFrame:
-    boundary = spark.createDataFrame([(0, 0.0, 10.0), (13, 1.0, 10.0)], "k bigint, value double, weight double")
-    found = linear.solve(linear.deduplicated(_constraints(spark, d)), boundary)
-    return found.x.select("k", F.round("value", 6).alias("value"), F.lit(found.disposition).alias("disposition"))
+    """Customers and nations between two nations that are held; the SQL eliminates the customers of each nation."""
+    boundary = spark.createDataFrame([(1, 0.0, 10.0), (27, 1.0, 10.0)], "k bigint, value double, weight double")
+    found = linear.solve(linear.deduplicated(_constraints(spark, d)), boundary, regular=0.5, tolerance=1e-12)
+    return found.x.select("k", F.round("value", 4).alias("value"), F.lit(found.disposition).alias("disposition"))
 
 
 @registered("""

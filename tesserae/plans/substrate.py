@@ -57,6 +57,21 @@ def cheapest_states(spark: SparkSession, d: str) -> DataFrame:
     return best.orderBy("cost", "state").limit(10)
 
 
+@registered("WITH RECURSIVE " + _GRAPH + """, g AS (SELECT s_suppkey * 2 AS goal FROM supplier WHERE s_suppkey BETWEEN 2 AND 5),
+l AS (SELECT CAST(2 AS BIGINT) AS state, CAST(0 AS BIGINT) AS cost, 0 AS depth UNION SELECT e.target, l.cost + e.cost, l.depth + 1 FROM l JOIN e ON e.source = l.state WHERE l.depth < 2),
+r AS (SELECT * FROM l JOIN g ON state = goal), f AS (SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.state = a.state AND b.cost <= a.cost AND b.depth <= a.depth AND (b.cost < a.cost OR b.depth < a.depth)))
+SELECT state, cost, depth, CASE WHEN count(*) OVER () >= 3 THEN 'complete' WHEN count(*) OVER () = 0 THEN 'no_admissible_path' ELSE 'partial' END AS disposition FROM f ORDER BY cost, depth, state LIMIT 3""")
+def typed_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The three cheapest paths of two edges from supplier 1 to suppliers 2 to 5, each edge estimated at its least cost."""
+    edges = _bipartite(spark, d)
+    goals = table(spark, d, "supplier").filter("s_suppkey between 2 and 5").select((F.col("s_suppkey") * 2).alias("state"))
+    states = edges.select(F.col("source").alias("state")).distinct()
+    estimate = states.join(goals.distinct().withColumn("at", F.lit(True)), "state", "left").select("state", F.when(F.col("at"), 0).when(F.col("state") % 2 == 1, 4).otherwise(8).alias("estimate"))
+    anchors = spark.range(2, 3).select(F.col("id").alias("state"))
+    found = search.best_first(edges, anchors, goals, search.Budget(depth=2), paths=3, heuristic=estimate)
+    return found.paths.select("state", F.col("cost").cast("bigint").alias("cost"), "depth", F.lit(found.disposition).alias("disposition"))
+
+
 @registered("WITH RECURSIVE " + _GRAPH + ", l AS (SELECT CAST(0 AS BIGINT) AS state, 0 AS depth UNION SELECT e.target, l.depth + 1 FROM l JOIN e ON e.source = l.state WHERE l.depth < 4) SELECT state, min(depth) AS depth FROM l GROUP BY state")
 def response_scan(spark: SparkSession, d: str) -> DataFrame:
     return search.reach(_bipartite(spark, d), spark.range(1).select(F.col("id").alias("state")), 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions import ident
+from tesserae.functions import ident, segments
 from tesserae.operators import occurrence, relations, response
 from tesserae.plans.catalog import registered, table
 
@@ -141,3 +141,14 @@ def blake3_atoms(spark: SparkSession, d: str) -> DataFrame:
     """BLAKE3 atom ids of every distinct character of the documents, with its occurrences."""
     chars = table(spark, d, "documents").select(F.explode(F.split("text", "")).alias("c")).filter("c != ''").groupBy("c").agg(F.count("*").alias("n"))
     return chars.select(F.ascii("c").alias("position"), "n").select("position", "n", F.lower(F.hex(ident.atom_id("position"))).alias("atom_id"))
+
+
+@registered("SELECT doc_id, length_grapheme(coalesce(text, '')) AS graphemes FROM documents")
+def grapheme_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", segments.grapheme_count("text").alias("graphemes"))
+
+
+@registered()
+def segment_counts(spark: SparkSession, d: str) -> DataFrame:
+    """User-perceived characters, words and sentences of every document."""
+    return table(spark, d, "documents").select("doc_id", segments.segment_counts("text").alias("n")).select("doc_id", "n.*")

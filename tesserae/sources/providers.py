@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ast
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -19,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions import segments
 from tesserae.operators.closure import checkpointed
 
 
@@ -91,39 +91,13 @@ def python_syntax(data: bytes) -> Iterator[Span]:
             yield Span(type(node).__name__, starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset)
 
 
-def graphemes(text: str) -> list[str]:
-    """User-perceived characters: a base with its marks, joined sequences, flags, CRLF.  Hangul syllables in parts
-    (conjoining jamo) follow their leading consonant."""
-    out: list[str] = []
-    flags = 0
-    for c in text:
-        joins = False
-        if out:
-            last = out[-1][-1]
-            mark = unicodedata.category(c) in ("Mn", "Me", "Mc") or c in "‍‌" or 0x1F3FB <= ord(c) <= 0x1F3FF
-            flag = 0x1F1E6 <= ord(c) <= 0x1F1FF
-            control = last in "\r\n" or unicodedata.category(last) == "Cc"
-            jamo = 0x1160 <= ord(c) <= 0x11FF and (0x1100 <= ord(last) <= 0x11FF or 0xAC00 <= ord(last) <= 0xD7A3) or 0x1100 <= ord(c) <= 0x115F and 0x1100 <= ord(last) <= 0x115F
-            joins = last == "\r" and c == "\n" or not control and (mark or jamo or last == "‍" and ord(c) > 0x2190 or flag and flags % 2 == 1)
-        flags = flags + 1 if 0x1F1E6 <= ord(c) <= 0x1F1FF else 0
-        if joins:
-            out[-1] += c
-        else:
-            out.append(c)
-    return out
-
-
-_WORD = re.compile(r"[^\W_](?:[^\W_]|[̀-ͯ]|[.'’:·](?=[^\W\d_])(?<=[^\W\d_].)|[.,;'](?=\d)(?<=\d.)|_)*|\s+|.", re.S)
-_SENTENCE = re.compile(r".+?(?:[.!?…]+[\"'”’)\]]*\s+(?=[^a-z])|\n{2,}|\Z)", re.S)
-
-
 def text_segments(data: bytes) -> Iterator[Span]:
-    """Words and sentences with byte offsets; nothing is normalised or folded."""
+    """Words and sentences with byte offsets; each kind tiles the text."""
     text = data.decode("utf-8")
-    for kind, pattern in (("sentence", _SENTENCE), ("word", _WORD)):
+    for kind, found in (("sentence", segments.sentences), ("word", segments.words)):
         at = 0
-        for m in pattern.finditer(text):
-            size = len(m[0].encode())
+        for part in found(text):
+            size = len(part.encode())
             yield Span(kind, at, at + size)
             at += size
 
@@ -177,8 +151,9 @@ def _apply(spans: DataFrame) -> DataFrame:
             for artifact, media, start, content in zip(*(batch.column(c).to_pylist() for c in ("artifact", "media", "start", "content")), strict=True):
                 for name, (takes, provide) in PROVIDERS.items():
                     if media in takes:
+                        text = (content or b"").decode("utf-8", "replace")
                         for s in provide(content or b""):
-                            part = (content or b"").decode("utf-8", "replace")[s.start : s.end].encode() if s.media else None
+                            part = text[s.start : s.end].encode() if s.media else None
                             rows.append({"artifact": artifact, "provider": name, "parent": start, "kind": s.kind, "start": s.start, "end": s.end, "media": s.media, "content": part})
             yield pa.RecordBatch.from_pylist(rows, schema)
 

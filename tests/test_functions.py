@@ -1,11 +1,13 @@
 import math
+import random
 import struct
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.functions import carrier, ident, scalars
+from tesserae.functions import carrier, ident, scalars, segments
 
 
 def atom(c):
@@ -91,3 +93,29 @@ def test_placement_is_on_the_sphere(spark):
 def test_masks_and_fractions(spark):
     row = spark.range(1).select(scalars.has_any(F.lit(20), 29), scalars.has_all(F.lit(20), 29), scalars.write_partition(F.lit("ff00")), scalars.reduced(F.lit(2), F.lit(4)), scalars.reduced(F.lit(1), F.lit(4)), scalars.decomposed(F.lit("é"))).first()
     assert tuple(row) == (True, False, 63, False, True, "é")
+
+
+def test_segments_follow_the_boundary_rules():
+    assert segments.graphemes("é\r\n🇩🇪🇫🇷👩‍👩가각") == ["é", "\r\n", "🇩🇪", "🇫🇷", "👩‍👩", "가", "각"]
+    assert segments.words("The quick (“brown”) fox can’t jump 32.3 feet, right?") == ["The", " ", "quick", " ", "(", "“", "brown", "”", ")", " ", "fox", " ", "can’t", " ", "jump", " ", "32.3", " ", "feet", ",", " ", "right", "?"]
+    cases = {
+        "c.d": ["c.d"], "3.4": ["3.4"], "U.S. Army": ["U.S. ", "Army"], "the resp. leaders are": ["the resp. leaders are"], "etc.)’ ‘(the": ["etc.)’ ‘(the"], "etc.)’ ‘(The": ["etc.)’ ", "‘(The"],
+        "He said “Go!” Then left. OK?\n\nNew\r\nx": ["He said “Go!” ", "Then left. ", "OK?\n", "\n", "New\r\n", "x"], "字。文": ["字。", "文"], "Why?, he said.": ["Why?, he said."], "1. A": ["1. ", "A"], "A̧.B": ["A̧.B"], "!A": ["!", "A"], "": [],
+    }
+    for text, want in cases.items():
+        assert segments.sentences(text) == want, text
+
+
+def test_segments_tile_any_text():
+    draw = random.Random(3)
+    for _ in range(300):
+        text = "".join(draw.choice("aB1. ?!,)\n\r̀‍一א'_\U0001f1e9한  ") for _ in range(draw.randrange(40)))
+        for found in (segments.graphemes, segments.words, segments.sentences):
+            parts = found(text)
+            assert "".join(parts) == text and all(parts)
+
+
+def test_segments_of_long_texts_take_linear_time():
+    for text in ("a. " * 200_000, "." * 300_000, "a.(" * 100_000 + "b", "̀" * 200_000 + "."):
+        began = time.monotonic()
+        assert "".join(segments.sentences(text)) == text and time.monotonic() - began < 20

@@ -1,6 +1,7 @@
 """Operators on small tables, with the wrong variants that each must be told from."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -163,6 +164,53 @@ def test_search_takes_cheaper_label_over_shallower(spark):
     assert dict(search.reach(edges, a, 2).collect()) == {"a": 0, "b": 1, "c": 1, "d": 1}
 
 
+def test_best_first_dispositions(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("a", "c", 5), ("c", "d", 1), ("a", "d", 9)], "source string, target string, cost int").withColumn("cost", F.col("cost").cast("decimal(38,0)"))
+    a, d = spark.createDataFrame([("a",)], "state string"), spark.createDataFrame([("d",)], "state string")
+    budget = search.Budget(5)
+    kept = lambda r: [(int(p["cost"]), p["path"]) for p in r.paths.collect()]
+    one = search.best_first(edges, a, d, budget)
+    assert kept(one) == [(3, ["a", "b", "c", "d"])] and one.disposition == "complete" and one.optimal and one.expanded == 3
+    assert kept(search.best_first(edges, a, d, budget, paths=3)) == [(3, ["a", "b", "c", "d"]), (6, ["a", "c", "d"]), (9, ["a", "d"])]
+    partial = search.best_first(edges, a, d, budget, paths=4)
+    assert partial.disposition == "partial" and not partial.optimal and len(kept(partial)) == 3
+    assert search.best_first(edges, a, d, budget, whole=False).disposition == "upper_bound"
+    assert search.best_first(edges, d, a, budget).disposition == "no_admissible_path"
+    assert search.best_first(edges, d, a, budget, provider="denied").disposition == "denied"
+    assert search.best_first(edges, d, a, budget, whole=False).disposition == "incomplete_boundary"
+    assert search.best_first(edges, a, d, search.Budget(5, expanded=1)).disposition == "exhausted"
+    assert search.best_first(edges, a, d, search.Budget(5, open=0)).disposition == "exhausted"
+    assert kept(search.best_first(edges, a, d, search.Budget(1))) == [(9, ["a", "d"])]
+    assert kept(search.best_first(edges.limit(0), a, a, budget)) == [(0, ["a"])]
+
+
+def test_best_first_reopens_where_the_estimate_is_not_consistent(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("a", "c", 3), ("c", "d", 6)], "source string, target string, cost int").withColumn("cost", F.col("cost").cast("decimal(38,0)"))
+    a, d = spark.createDataFrame([("a",)], "state string"), spark.createDataFrame([("d",)], "state string")
+    estimate = spark.createDataFrame([("b", 7), ("c", 0)], "state string, estimate int")
+    assert [int(r["cost"]) for r in search.best_first(edges, a, d, search.Budget(5), heuristic=estimate).paths.collect()] == [8]
+    assert [int(r["cost"]) for r in search.best_first(edges, a, d, search.Budget(5), heuristic=estimate, reopen=False).paths.collect()] == [9]
+
+
+def test_best_first_against_all_paths(spark):
+    draw = random.Random(5)
+    links = sorted({(draw.randrange(7), draw.randrange(7), draw.randrange(1, 6)) for _ in range(24)})
+    edges = spark.createDataFrame(links, "source int, target int, cost int").withColumn("cost", F.col("cost").cast("decimal(38,0)"))
+    every, ahead = [], [(0, [0])]
+    while ahead:
+        cost, path = ahead.pop()
+        if path[-1] in (5, 6):
+            every.append((cost, len(path) - 1, path[-1]))
+        elif len(path) <= 4:
+            ahead += [(cost + c, [*path, t]) for s, t, c in links if s == path[-1] and t not in path]
+    every = set(every)
+    want = sorted(x for x in every if not any(y != x and y[2] == x[2] and y[0] <= x[0] and y[1] <= x[1] for y in every))
+    state = lambda ids: spark.createDataFrame([(i,) for i in ids], "state int")
+    for paths in (2, 20):
+        got = search.best_first(edges, state([0]), state([5, 6]), search.Budget(4), paths=paths)
+        assert [(int(r["cost"]), r["depth"], r["state"]) for r in got.paths.collect()] == want[:paths]
+
+
 def test_glicko_reference_example(spark):
     states = spark.createDataFrame([("p", 1500.0, 200.0, 0.06), ("x", 1400.0, 30.0, 0.06), ("y", 1550.0, 100.0, 0.06), ("z", 1700.0, 300.0, 0.06), ("idle", 1500.0, 50.0, 0.06)], "lane string, rating double, deviation double, volatility double")
     games = spark.createDataFrame([("p", "x", 1.0), ("p", "y", 0.0), ("p", "z", 0.0)], "lane string, opponent string, score double")

@@ -61,7 +61,9 @@ class Solution(NamedTuple):
 def solve(constraints: DataFrame, boundary: DataFrame, regular: float = 1e-6, tolerance: float = 1e-10, rounds: int = 1000) -> Solution:
     """Solves (L + R + regular) x = b + R g by conjugate gradients; ``boundary`` has k, value g and weight R.
 
-    Few unknowns are solved on the driver, behind a count; otherwise every product is a DataFrame operation.
+    Residuals are scaled by the matrix's diagonal, so that unknowns in many constraints don't slow the others down.
+    Few unknowns are solved on the driver, behind a count; otherwise every product is a DataFrame operation, and a
+    round writes one table.
     """
     spark = constraints.sparkSession
     unknowns = constraints.select(F.col("i").alias("k")).unionByName(constraints.select(F.col("j").alias("k"))).unionByName(boundary.select("k")).distinct()
@@ -77,8 +79,11 @@ def solve(constraints: DataFrame, boundary: DataFrame, regular: float = 1e-6, to
         for r in boundary.collect():
             dense[place[r["k"]], place[r["k"]]] += r["weight"]
             b[place[r["k"]]] += r["weight"] * r["value"]
+        diagonal = np.diag(dense)
+        scale = 1 / np.where(diagonal > 0, diagonal, 1)
         x, r = np.zeros(n), b.copy()
-        p, rr = r.copy(), r @ r
+        p = scale * r
+        rr, rz = r @ r, r @ p
         stop, done = tolerance * max(1.0, np.sqrt(rr)), 0
         disposition = "initially_satisfied" if np.sqrt(rr) <= stop else "iteration_limit"
         while disposition == "iteration_limit" and done < rounds:
@@ -87,32 +92,38 @@ def solve(constraints: DataFrame, boundary: DataFrame, regular: float = 1e-6, to
             if curve <= 0:
                 disposition = "singular_direction"
                 break
-            x, r = x + rr / curve * p, r - rr / curve * q
-            rr, old = r @ r, rr
-            p, done = r + rr / old * p, done + 1
+            x, r = x + rz / curve * p, r - rz / curve * q
+            z = scale * r
+            rr, rz, old = r @ r, r @ z, rz
+            p, done = z + rz / old * p, done + 1
             if np.sqrt(rr) <= stop:
                 disposition = "converged"
         rows = list(zip(names, x.tolist(), strict=True))
         return Solution(spark.createDataFrame(rows, f"k {unknowns.schema['k'].dataType.simpleString()}, value double"), disposition, done, float(np.sqrt(rr)))
-    weights = boundary.select("k", "weight", F.col("value").alias("g"))
-    b = unknowns.join(right_side(constraints), "k", "left").join(weights, "k", "left").select("k", (F.coalesce("value", F.lit(0.0)) + F.coalesce(F.col("weight") * F.col("g"), F.lit(0.0))).alias("r"))
-    state = checkpointed(b.select("k", F.lit(0.0).alias("x"), "r", F.col("r").alias("p")))
-    rr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+    constraints = checkpointed(constraints)
+    held = boundary.select("k", "weight", F.col("value").alias("g"))
+    square = matrix(constraints).filter("row = col").select(F.col("row").alias("k"), F.col("value").alias("own"))
+    known = unknowns.join(right_side(constraints), "k", "left").join(held, "k", "left").join(square, "k", "left")
+    plus = F.coalesce("weight", F.lit(0.0)) + regular
+    size = F.coalesce("own", F.lit(0.0)) + plus
+    known = known.select("k", plus.alias("plus"), F.when(size > 0, 1 / size).otherwise(1.0).alias("scale"), (F.coalesce("value", F.lit(0.0)) + F.coalesce(F.col("weight") * F.col("g"), F.lit(0.0))).alias("r"))
+    state = checkpointed(known).select("k", "plus", "scale", F.lit(0.0).alias("x"), "r", (F.col("scale") * F.col("r")).alias("p"))
+    r, z = F.col("r"), F.col("scale") * F.col("r")
+    rr, rz = state.agg(F.sum(r * r), F.sum(r * z)).first()
     stop, done = tolerance * max(1.0, rr**0.5), 0
     disposition = "initially_satisfied" if rr**0.5 <= stop else "iteration_limit"
     while disposition == "iteration_limit" and done < rounds:
         q = apply(constraints, state.select("k", F.col("p").alias("value")))
-        step = state.join(q, "k", "left").join(weights.select("k", "weight"), "k", "left").withColumn("q", F.coalesce("y", F.lit(0.0)) + (regular + F.coalesce("weight", F.lit(0.0))) * F.col("p")).select("k", "x", "r", "p", "q")
-        step = checkpointed(step)
+        step = checkpointed(state.join(q, "k", "left").select(*state.columns, (F.coalesce("y", F.lit(0.0)) + F.col("plus") * F.col("p")).alias("q")))
         curve = step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
         if curve <= 0:
             disposition = "singular_direction"
             break
-        alpha = rr / curve
-        moved = step.select("k", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
-        now = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        state = checkpointed(moved.withColumn("p", F.col("r") + now / rr * F.col("p")))
-        rr, done = now, done + 1
+        alpha = rz / curve
+        moved = step.select("k", "plus", "scale", (F.col("x") + alpha * F.col("p")).alias("x"), (r - alpha * F.col("q")).alias("r"), "p")
+        old = rz
+        rr, rz = moved.agg(F.sum(r * r), F.sum(r * z)).first()
+        state, done = moved.withColumn("p", z + rz / old * F.col("p")), done + 1
         if rr**0.5 <= stop:
             disposition = "converged"
     return Solution(state.select("k", F.col("x").alias("value")), disposition, done, rr**0.5)

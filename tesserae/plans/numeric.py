@@ -84,13 +84,13 @@ def operator_right_side(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered("WITH " + _CONSTRAINTS + """, g AS (SELECT * FROM (VALUES (1, 0.0, 10.0), (27, 1.0, 10.0)) AS g(j, g, r)),
-n AS (SELECT j, sum(w * b * b * 0.5 / (w * a * a + 0.5)) AS s, -sum(w * b * c * 0.5 / (w * a * a + 0.5)) AS t FROM k GROUP BY j),
-x AS (SELECT CAST(coalesce(n.j, g.j) AS BIGINT) AS k, CAST((coalesce(t, 0) + coalesce(g * r, 0)) / (coalesce(s, 0) + coalesce(r, 0) + 0.5) AS DOUBLE) AS value FROM n FULL JOIN g ON n.j = g.j)
-SELECT k, round(value, 4) AS value, 'converged' AS disposition FROM x UNION ALL SELECT i, round(-w * a * (b * x.value + c) / (w * a * a + 0.5), 4), 'converged' FROM k JOIN x ON x.k = k.j""")
+n AS (SELECT j, sum(w * b * b * 5.0 / (w * a * a + 5.0)) AS s, -sum(w * b * c * 5.0 / (w * a * a + 5.0)) AS t FROM k GROUP BY j),
+x AS (SELECT CAST(coalesce(n.j, g.j) AS BIGINT) AS k, CAST((coalesce(t, 0) + coalesce(g * r, 0)) / (coalesce(s, 0) + coalesce(r, 0) + 5.0) AS DOUBLE) AS value FROM n FULL JOIN g ON n.j = g.j)
+SELECT k, round(value, 4) AS value, 'converged' AS disposition FROM x UNION ALL SELECT i, round(-w * a * (b * x.value + c) / (w * a * a + 5.0), 4), 'converged' FROM k JOIN x ON x.k = k.j""")
 def boundary_solution(spark: SparkSession, d: str) -> DataFrame:
     """Customers and nations between two nations that are held; the SQL eliminates the customers of each nation."""
     boundary = spark.createDataFrame([(1, 0.0, 10.0), (27, 1.0, 10.0)], "k bigint, value double, weight double")
-    found = linear.solve(linear.deduplicated(_constraints(spark, d)), boundary, regular=0.5, tolerance=1e-12)
+    found = linear.solve(linear.deduplicated(_constraints(spark, d)), boundary, regular=5.0)
     return found.x.select("k", F.round("value", 4).alias("value"), F.lit(found.disposition).alias("disposition"))
 
 

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.closure import checkpointed
+from tesserae.operators.closure import shared_folder
 
 #: Up to so many unknowns the matrix is collected and solved on the driver; beyond, vectors stay DataFrames.
 DRIVER_UNKNOWNS = 2_000
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, reread.  A checkpoint would keep the estimate of its size, which every round of
+    joins of a vector with itself raises to a power: after a dozen rounds planning wouldn't end."""
+    path = f"{shared_folder(df.sparkSession)}/vectors-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def deduplicated(constraints: DataFrame) -> DataFrame:
     """One constraint per evidence key; keys whose dependent copies disagree are an error."""
     value = F.struct("i", "j", "a", "b", "c", "w")
@@ -100,21 +109,21 @@ def solve(constraints: DataFrame, boundary: DataFrame, regular: float = 1e-6, to
                 disposition = "converged"
         rows = list(zip(names, x.tolist(), strict=True))
         return Solution(spark.createDataFrame(rows, f"k {unknowns.schema['k'].dataType.simpleString()}, value double"), disposition, done, float(np.sqrt(rr)))
-    constraints = checkpointed(constraints)
+    constraints = _written(constraints)
     held = boundary.select("k", "weight", F.col("value").alias("g"))
     square = matrix(constraints).filter("row = col").select(F.col("row").alias("k"), F.col("value").alias("own"))
     known = unknowns.join(right_side(constraints), "k", "left").join(held, "k", "left").join(square, "k", "left")
     plus = F.coalesce("weight", F.lit(0.0)) + regular
     size = F.coalesce("own", F.lit(0.0)) + plus
     known = known.select("k", plus.alias("plus"), F.when(size > 0, 1 / size).otherwise(1.0).alias("scale"), (F.coalesce("value", F.lit(0.0)) + F.coalesce(F.col("weight") * F.col("g"), F.lit(0.0))).alias("r"))
-    state = checkpointed(known).select("k", "plus", "scale", F.lit(0.0).alias("x"), "r", (F.col("scale") * F.col("r")).alias("p"))
+    state = _written(known).select("k", "plus", "scale", F.lit(0.0).alias("x"), "r", (F.col("scale") * F.col("r")).alias("p"))
     r, z = F.col("r"), F.col("scale") * F.col("r")
     rr, rz = state.agg(F.sum(r * r), F.sum(r * z)).first()
     stop, done = tolerance * max(1.0, rr**0.5), 0
     disposition = "initially_satisfied" if rr**0.5 <= stop else "iteration_limit"
     while disposition == "iteration_limit" and done < rounds:
         q = apply(constraints, state.select("k", F.col("p").alias("value")))
-        step = checkpointed(state.join(q, "k", "left").select(*state.columns, (F.coalesce("y", F.lit(0.0)) + F.col("plus") * F.col("p")).alias("q")))
+        step = _written(state.join(q, "k", "left").select(*state.columns, (F.coalesce("y", F.lit(0.0)) + F.col("plus") * F.col("p")).alias("q")))
         curve = step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
         if curve <= 0:
             disposition = "singular_direction"

@@ -16,8 +16,8 @@ DRIVER_UNKNOWNS = 2_000
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """A table in the shared folder, reread.  A checkpoint would keep the estimate of its size, which every round of
-    joins of a vector with itself raises to a power: after a dozen rounds planning wouldn't end."""
+    """A table in the shared folder, reread.  A checkpoint would keep the plan's estimate of its size, which
+    the joins of a vector with itself multiply in every round; a table is estimated by its files."""
     path = f"{shared_folder(df.sparkSession)}/vectors-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

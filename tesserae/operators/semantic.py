@@ -23,14 +23,16 @@ def evidenced_edges(frontier: DataFrame, occurrences: DataFrame, testimony: Data
     """(source, target, proposition, relation, direction, root, occurrence, uncertainty): one row per source, proposition, target and root.
 
     Of several occurrences that say the same the least one speaks.  ``frontier`` has id.  Every join is on equal keys, and
-    the frontier restricts the occurrences before evidence is joined to them.
+    the frontier restricts the occurrences before evidence is joined to them.  Evidence gets its row first, so that it meets
+    the occurrences of its profile and row only, not all those of a profile.
     """
     valid = occurrences.filter((F.col("boundary") == F.lit(boundary)) & (F.col("disposition") == RESOLVED))
     touched = undirected_edges(valid, frontier).withColumn("direction", F.when(F.col("symmetric"), SYMMETRIC).otherwise(F.col("direction")))
-    told = touched.join(testimony, "profile").join(nodes, ["node", "row"]).join(roots, "node")
-    admitted = told.join(members.select("boundary", "profile", "node", "root", "testimony").distinct(), ["boundary", "profile", "node", "root", "testimony"], "left_semi")
+    placed = testimony.join(nodes, "node").join(roots, "node")
+    admitted = placed.join(members.select("boundary", "profile", "node", "root", "testimony").filter(F.col("boundary") == F.lit(boundary)).drop("boundary"), ["profile", "node", "root", "testimony"], "left_semi")
+    told = touched.join(admitted, ["profile", "row"])
     row = F.struct("occurrence", "testimony", "relation", "direction", "uncertainty_numerator", "uncertainty_denominator")
-    return admitted.groupBy("source", "proposition", "target", "root").agg(F.min(row).alias("least")).select("source", "target", "proposition", "root", "least.*").drop("testimony")
+    return told.groupBy("source", "proposition", "target", "root").agg(F.min(row).alias("least")).select("source", "target", "proposition", "root", "least.*").drop("testimony")
 
 
 def semantic_expand(edges: DataFrame, matches: DataFrame, states: DataFrame) -> DataFrame:

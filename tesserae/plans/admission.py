@@ -166,7 +166,7 @@ def semantic_frontier(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     states = events.select(F.col("user_id").alias("lane"), F.col("ts").alias("period"), F.col("event_id").alias("state"), F.round(F.col("value") * 100).alias("rating"))
     frontier = table(spark, d, "supplier").select((F.col("s_suppkey") * 2).alias("id"))
-    edges = semantic.evidenced_edges(frontier, occurrences, testimony, nodes, roots, members, 1)
+    edges = closure.written(semantic.evidenced_edges(frontier, occurrences, testimony, nodes, roots, members, 1))
     matches = edges.select("root").distinct().select("root", F.col("root").alias("lane"))
     found = semantic.semantic_expand(edges, matches, states)
     sums = [F.count("*").alias("candidates"), F.countDistinct("target").alias("targets"), F.coalesce(F.sum("uncertainty_numerator"), F.lit(0)).cast("bigint").alias("uncertain"), F.count("lane").alias("lanes"), F.coalesce(F.sum(F.col("rating").cast("bigint")), F.lit(0)).alias("rating"), F.sum(F.col("occurrence") % 1000003).alias("witnesses")]

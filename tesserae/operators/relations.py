@@ -45,19 +45,20 @@ def constituents(run_table: DataFrame, anchors: DataFrame) -> DataFrame:
 def neighbours(run_table: DataFrame, anchors: DataFrame, relation: int) -> DataFrame:
     """Predecessors or successors: the adjacent run where the ordinals meet, and the inner edges of the run itself.
 
-    Containers without an anchor are dropped before the window sorts anything.
+    One window over the containers; nothing is joined but the anchors.
     """
-    touched = run_table.join(anchored(run_table, anchors).select("container").distinct(), "container", "left_semi")
+    marked = run_table.join(anchors.select("entity").distinct().withColumn("_anchor", F.lit(1)), "entity", "left")
     order = Window.partitionBy("container").orderBy("ordinal")
     if relation == SUCCESSOR:
         other, meets, direction = F.lead("entity").over(order), F.lead("ordinal").over(order) == F.col("ordinal") + F.col("run"), FORWARD
     else:
         other, meets, direction = F.lag("entity").over(order), F.lag(F.col("ordinal") + F.col("run")).over(order) == F.col("ordinal"), REVERSE
-    seen = touched.withColumn("other", F.when(meets, other))
-    own = anchored(seen, anchors)
-    across = own.filter("other is not null").select(*_candidate("entity", "other", relation, direction, F.lit(1)))
-    inner = own.filter("run > 1").select(*_candidate("entity", "entity", relation, direction, F.col("run") - 1))
-    return across.unionByName(inner)
+    own = marked.withColumn("_other", F.when(meets, other)).filter("_anchor = 1")
+    each = lambda target, multiplicity: F.struct(target.alias("target"), multiplicity.cast("bigint").alias("multiplicity"))
+    across = F.when(F.col("_other").isNotNull(), each(F.col("_other"), F.lit(1)))
+    inner = F.when(F.col("run") > 1, each(F.col("entity"), F.col("run") - 1))
+    found = own.select("entity", "container", F.explode(F.filter(F.array(across, inner), lambda s: s.isNotNull())).alias("s"))
+    return found.select(*_candidate("entity", F.col("s.target"), relation, direction, F.col("s.multiplicity")))
 
 
 def cooccurrences(run_table: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ c AS (
 
 
 def document_runs(spark: SparkSession, d: str) -> DataFrame:
-    return occurrence.runs(occurrence.tokens(table(spark, d, "documents"), "doc_id", F.lower("text")))
+    docs = occurrence.dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return occurrence.runs(occurrence.tokens(docs, "doc_id", F.lower("text")))
 
 
 def _anchored_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -37,12 +38,14 @@ def _anchored_runs(spark: SparkSession, d: str) -> DataFrame:
 
     They are told from the others before anything is exploded.
     """
-    docs = table(spark, d, "documents").filter(F.array_contains(F.split(F.lower("text"), " "), ANCHOR))
+    held = F.contains(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), F.lit(f" {ANCHOR} "))
+    docs = occurrence.dealt(table(spark, d, "documents").select("doc_id", "text").filter(held), "doc_id", "text")
     return occurrence.runs(occurrence.tokens(docs, "doc_id", F.lower("text")))
 
 
 def _anchor(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(ANCHOR,)], "entity string")
+    """The anchor as a table of known size, which is broadcast; tokens don't move to meet it."""
+    return spark.range(1).select(F.lit(ANCHOR).alias("entity"))
 
 
 @registered("WITH " + _CANDIDATES + """

@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import interpret, semantic
+from tesserae.operators import interpret, occurrence, semantic
+from tesserae.plans import text
 
 
 def test_joins_start_with_the_finer_key(spark):
@@ -30,3 +31,17 @@ def test_evidence_meets_occurrences_by_row(spark):
     assert sorted((r["target"], r["root"]) for r in edges.collect()) == [(k + 100, k % 5) for k in range(40) if k != 3]
     joins = [line for line in re.findall(r"Join Inner, (.*)", edges._jdf.queryExecution().optimizedPlan().toString()) if "profile" in line]
     assert joins and all("row#" in line for line in joins)
+
+
+def test_tasks_of_texts_follow_the_size_of_texts(spark, monkeypatch):
+    """Texts are dealt before they are taken apart, so tokens never move and a task holds so much text."""
+    monkeypatch.setattr(occurrence, "TASK_TEXT", 1000)
+    monkeypatch.setattr(text, "ANCHOR", "b")
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("a B b c " * 10 + "b").alias("text"))
+    monkeypatch.setattr(text, "table", lambda *_: docs)
+    assert text.document_runs(spark, "").rdd.getNumPartitions() == 1 + 8100 // 1000
+    assert dict(docs.transform(lambda _: text.document_occurrences(spark, "")).select("container", "runs").collect()) == dict.fromkeys(range(100), 31)
+    near = text.successors(spark, "")
+    assert [tuple(r) for r in near.orderBy("target").collect()] == [("b", 1000, 1000), ("c", 1000, 1000)]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entity" not in plan and "SortMergeJoin" not in plan

@@ -33,11 +33,11 @@ def composition_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bipartite(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier to part and back, costing the least line number at which the pair was sold."""
+    """Supplier to part and back, costing the least line number at which the pair was sold; written, as searches read it every round."""
     pairs = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.min("l_linenumber").cast("bigint").alias("c"))
     there = pairs.select((F.col("s") * 2).alias("source"), (F.col("p") * 2 + 1).alias("target"), "c", F.lit(1).alias("one"))
     both = there.unionByName(there.select(F.col("target").alias("source"), F.col("source").alias("target"), "c", "one"))
-    return both.select("source", "target", search.edge_cost([3, 1], ["c", "one"]).alias("cost"))
+    return closure.written(both.select("source", "target", search.edge_cost([3, 1], ["c", "one"]).alias("cost")))
 
 
 _GRAPH = """

@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import interpret, occurrence, semantic
-from tesserae.plans import text
+from tesserae.operators import interpret, occurrence, search, semantic
+from tesserae.plans import substrate, text
 
 
 def test_joins_start_with_the_finer_key(spark):
@@ -45,3 +45,13 @@ def test_tasks_of_texts_follow_the_size_of_texts(spark, monkeypatch):
     assert [tuple(r) for r in near.orderBy("target").collect()] == [("b", 1000, 1000), ("c", 1000, 1000)]
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(entity" not in plan and "SortMergeJoin" not in plan
+
+
+def test_searches_read_their_edges_written(spark):
+    """The graph of lines is made once, not in every round."""
+    edges = substrate._bipartite(spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    some = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("a", "c", 5), ("c", "d", 1)], "source string, target string, cost bigint")
+    state = lambda s: spark.createDataFrame([(s,)], "state string")
+    found = search.cheapest_paths(some, state("a"), some.select(F.col("target").alias("state")), 3, None).paths
+    assert sorted((r["state"], int(r["cost"]), r["depth"]) for r in found.collect()) == [("b", 1, 1), ("c", 2, 2), ("c", 5, 1), ("d", 3, 3), ("d", 6, 2)]

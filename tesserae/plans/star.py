@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators import latest
+from tesserae.operators import closure, latest
 from tesserae.plans.catalog import registered, table
 
+#: How many pairs of a join of groups a task makes.
+PAIRS = 1_000_000
+
 
 def cents(c: str):
     """Money as an exact number of cents, so that sums don't depend on their order."""
@@ -208,7 +211,17 @@ def aggregate_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT p.p_partkey, q.p_partkey AS other FROM part p JOIN part q ON p.p_brand = q.p_brand AND p.p_type = q.p_type AND q.p_size BETWEEN p.p_size + 1 AND p.p_size + 2")
 def range_join(spark: SparkSession, d: str) -> DataFrame:
-    """A range join made an equality join: the sizes that a row looks for are spelled out, two of them."""
-    parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    """A range join made an equality join: the sizes that a row looks for are spelled out, two of them.
+
+    Pairs grow with the square of a group, so tasks follow the number of pairs, which is counted first; the seeking rows
+    of a group with more than ``PAIRS`` of them are dealt to several tasks, each of which gets all that they look for.
+    """
+    keys = ["p_brand", "p_type", "p_size"]
+    parts = table(spark, d, "part").select("p_partkey", *keys)
     wanted = parts.select("p_partkey", "p_brand", "p_type", F.explode(F.array(F.col("p_size") + 1, F.col("p_size") + 2)).alias("p_size"))
-    return wanted.join(parts.withColumnRenamed("p_partkey", "other"), ["p_brand", "p_type", "p_size"]).select("p_partkey", "other")
+    counts = wanted.groupBy(*keys).agg(F.count("*").alias("n")).join(parts.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+    load = closure.written(counts.select(*keys, (F.col("n") * F.col("m")).alias("pairs"), F.ceil(F.col("n") * F.col("m") / PAIRS).alias("cuts")))
+    tasks = 1 + (load.agg(F.sum("pairs")).first()[0] or 0) // PAIRS
+    left = wanted.join(load, keys).select("p_partkey", *keys, F.pmod(F.xxhash64("p_partkey"), "cuts").alias("cut")).repartition(tasks, *keys, "cut")
+    right = parts.join(load, keys).select(F.col("p_partkey").alias("other"), *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("cut")).repartition(tasks, *keys, "cut")
+    return left.join(right, [*keys, "cut"]).select("p_partkey", "other")

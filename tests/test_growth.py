@@ -2,10 +2,13 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tesserae.operators import interpret, occurrence, search, semantic
-from tesserae.plans import substrate, text
+from tesserae.operators import closure, interpret, occurrence, search, semantic
+from tesserae.plans import admission as plans_admission
+from tesserae.plans import star, substrate, text
+from tesserae.sources import providers
 
 
 def test_joins_start_with_the_finer_key(spark):
@@ -55,3 +58,14 @@ def test_searches_read_their_edges_written(spark):
     state = lambda s: spark.createDataFrame([(s,)], "state string")
     found = search.cheapest_paths(some, state("a"), some.select(F.col("target").alias("state")), 3, None).paths
     assert sorted((r["state"], int(r["cost"]), r["depth"]) for r in found.collect()) == [("b", 1, 1), ("c", 2, 2), ("c", 5, 1), ("d", 3, 3), ("d", 6, 2)]
+
+
+def test_range_join_deals_out_large_groups(spark, monkeypatch):
+    """Pairs of one group are made by several tasks, each once."""
+    monkeypatch.setattr(star, "PAIRS", 500)
+    parts = spark.range(300).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), (F.col("id") % 3).cast("int").alias("p_size"))
+    monkeypatch.setattr(star, "table", lambda *_: parts)
+    got = star.range_join(spark, "")
+    want = sorted((a, b) for a in range(300) for b in range(300) if 1 <= b % 3 - a % 3 <= 2)
+    assert sorted(map(tuple, got.collect())) == want
+    assert max(map(len, got.rdd.glom().collect())) < len(want) / 6

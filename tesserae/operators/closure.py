@@ -160,20 +160,21 @@ def cycle_path(edges: DataFrame) -> list:
 def expanded_text(roots: DataFrame, children: DataFrame, atoms: DataFrame, rounds: int = 64) -> DataFrame:
     """(root, text): exact readback of each root by expanding (container, ordinal, entity) down to (entity, text) atoms.
 
-    Paths are arrays of ordinals, whose order is that of the text.  An entity that is neither is an error.
+    Paths are arrays of ordinals, whose order is that of the text.  An entity that is neither is an error.  Atoms are
+    written first, so that a small vocabulary is broadcast and pieces don't move to meet it.
     """
-    below = children.select(F.col("container").alias("_above"), F.col("ordinal").alias("_ordinal"), F.col("entity").alias("_entity"))
-    open_ = checkpointed(roots.select(F.col("entity").alias("root"), "entity", F.array().cast("array<bigint>").alias("path")))
+    below = written(children.select(F.col("container").alias("_above"), F.col("ordinal").alias("_ordinal"), F.col("entity").alias("_entity")))
+    known = written(atoms.select(F.col("entity").alias("_atom"), "text"))
+    open_ = roots.select(F.col("entity").alias("root"), "entity", F.array().cast("array<bigint>").alias("path"))
     done = None
     for _ in range(rounds):
-        leaves = open_.join(atoms, "entity").select("root", "path", "text")
-        done = checkpointed(leaves if done is None else done.unionByName(leaves))
-        inner = open_.join(atoms, "entity", "left_anti")
-        deeper = inner.join(below, F.col("entity") == F.col("_above"), "left").select("root", F.col("_entity").alias("entity"), F.concat("path", F.array("_ordinal")).alias("path"))
-        open_ = checkpointed(deeper)
-        if open_.isEmpty():
+        seen = written(open_.join(known, F.col("entity") == F.col("_atom"), "left"))
+        if not seen.filter("entity is null").isEmpty():
+            raise ValueError("an entity has neither children nor a text")
+        leaves, inner = seen.filter("_atom is not null").select("root", "path", "text"), seen.filter("_atom is null")
+        done = leaves if done is None else done.unionByName(leaves)
+        if inner.isEmpty():
             pieces = F.sort_array(F.collect_list(F.struct("path", "text")))
             return done.groupBy("root").agg(F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"))
-        if not open_.filter("entity is null").isEmpty():
-            raise ValueError("an entity has neither children nor a text")
+        open_ = inner.join(below, F.col("entity") == F.col("_above"), "left").select("root", F.col("_entity").alias("entity"), F.concat("path", F.array("_ordinal")).alias("path"))
     raise RuntimeError("the expansion didn't end: the structure has a cycle")

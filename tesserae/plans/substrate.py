@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions import ident
 from tesserae.operators import closure, interpret, latest, occurrence, search
 from tesserae.plans.catalog import registered, table
 
@@ -125,7 +126,8 @@ def latest_turn(spark: SparkSession, d: str) -> DataFrame:
 def materialized_text(spark: SparkSession, d: str) -> DataFrame:
     """Conversations read back from a two-tier structure: conversation, turns, words."""
     turns = table(spark, d, "conversations").filter("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    word = F.concat(F.lit("w"), F.sha2("piece", 256))
+    turns = closure.written(turns)
+    word = F.concat(F.lit("w"), ident.content_id(F.col("piece")))
     turn_name = F.concat_ws("/", F.lit("t"), "conv_id", "turn")
     pieces = turns.select("conv_id", "turn", F.posexplode(F.split("text", "(?<= )")).alias("pos", "piece"))
     atoms = pieces.select(word.alias("entity"), F.col("piece").alias("text")).distinct()

@@ -69,3 +69,13 @@ def test_range_join_deals_out_large_groups(spark, monkeypatch):
     want = sorted((a, b) for a in range(300) for b in range(300) if 1 <= b % 3 - a % 3 <= 2)
     assert sorted(map(tuple, got.collect())) == want
     assert max(map(len, got.rdd.glom().collect())) < len(want) / 6
+
+
+def test_vocabulary_is_written_before_it_meets_pieces(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(closure, "written", lambda df, old=closure.written: made.append(df) or old(df))
+    children = spark.createDataFrame([("s", 2, "w"), ("s", 1, "v")], "container string, ordinal bigint, entity string")
+    atoms = spark.createDataFrame([("w", "there"), ("v", "hi ")], "entity string, text string")
+    assert closure.expanded_text(children.select(F.col("container").alias("entity")).distinct(), children, atoms).first()["text"] == "hi there"
+    assert ["_atom", "text"] in [df.columns for df in made]
+    assert all("SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for df in made if "_atom" in df.columns and "root" in df.columns)

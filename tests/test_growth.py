@@ -79,3 +79,19 @@ def test_vocabulary_is_written_before_it_meets_pieces(spark, monkeypatch):
     assert closure.expanded_text(children.select(F.col("container").alias("entity")).distinct(), children, atoms).first()["text"] == "hi there"
     assert ["_atom", "text"] in [df.columns for df in made]
     assert all("SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for df in made if "_atom" in df.columns and "root" in df.columns)
+
+
+def test_providers_give_spans_piecemeal():
+    """A batch of pages isn't held with all its spans: what is given at once follows the bytes of content."""
+
+    class Spans:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    page = b"<p>" + b"word " * 20_000 + b"</p>"
+    columns = {"artifact": ["a"] * 50, "media": ["text/html"] * 50, "start": [0] * 50, "content": [page] * 50}
+    out = list(providers._apply(Spans())(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert sum(b.num_rows for b in out) == 150 and max(b.num_rows for b in out) <= 3 * (providers.HELD // len(page) + 1)

@@ -13,16 +13,25 @@ from tesserae.operators.closure import compositions
 from tesserae.operators.resolve import classify_presence
 
 
+def composed(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(*keep, id, pieces, witness) of the rows whose text has words, each word digested once.
+
+    Rows are chosen by their text, as a test of the id would make all digests anew; so would a test for null that a join
+    infers, which is why the id is declared never to be null.
+    """
+    words = F.transform(F.filter(F.split(text, " "), lambda w: w != ""), content_id)
+    once = F.element_at(F.transform(F.array(words), lambda w: F.struct(composite_id(w).alias("id"), F.size(w).alias("pieces"))), 1)
+    held = rows.filter(F.ltrim(text) != "").select(*[F.col(k) for k in keep], once.alias("_c"), F.sha2(text, 256).alias("witness"))
+    return held.select(*keep, F.coalesce("_c.id", F.lit("")).alias("id"), "_c.pieces", "witness")
+
+
 def admitted_content(rows: DataFrame, key: str, text: Column, stored: DataFrame) -> DataFrame:
     """(key, id, pieces, class): each text decomposed into words, composed to an id, and classed against what is stored.
 
     ``stored`` has id and witness; the witness of a text is the digest of its bytes.  A text without words has no id, and
     isn't classed.  Words of a text never leave its row.
     """
-    words = F.transform(F.filter(F.split(text, " "), lambda w: w != ""), content_id)
-    composed = rows.select(F.col(key), composite_id(words).alias("id"), F.size(words).alias("pieces"), F.sha2(text, 256).alias("witness"))
-    held = composed.filter("id is not null")
-    return classify_presence(held, stored, "id", "witness").select(key, "id", "pieces", "class")
+    return classify_presence(composed(rows, text, key), stored, "id", "witness").select(key, "id", "pieces", "class")
 
 
 def admitted_prompt(rows: DataFrame, key: str, text: Column, stored: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -93,8 +93,7 @@ _STORED = f"s AS (SELECT id, min(witness) AS witness FROM (SELECT sha256(text) A
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     """What is stored already: a third of the documents."""
     docs = table(spark, d, "documents").filter("doc_id % 3 = 0")
-    words = F.transform(F.filter(F.split("text", " "), lambda w: w != ""), ident.content_id)
-    return docs.select(ident.composite_id(words).alias("id"), F.sha2("text", 256).alias("witness")).filter("id is not null").groupBy("id").agg(F.min("witness").alias("witness"))
+    return admission.composed(docs, F.col("text")).groupBy("id").agg(F.min("witness").alias("witness"))
 
 
 @registered("WITH " + _STORED + ", " + _admitted_sql("documents", "doc_id") + " SELECT doc_id, id, pieces, class FROM k")

@@ -95,3 +95,9 @@ def test_providers_give_spans_piecemeal():
     columns = {"artifact": ["a"] * 50, "media": ["text/html"] * 50, "start": [0] * 50, "content": [page] * 50}
     out = list(providers._apply(Spans())(iter([pa.RecordBatch.from_pydict(columns)])))
     assert sum(b.num_rows for b in out) == 150 and max(b.num_rows for b in out) <= 3 * (providers.HELD // len(page) + 1)
+
+
+def test_words_are_digested_once(spark):
+    """Neither the id of a text nor the number of its words makes the digests of all words anew."""
+    plan = plans_admission.admitted_content(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"split\(text", plan)) == 2  # the documents, and the third that is stored

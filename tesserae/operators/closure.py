@@ -101,18 +101,23 @@ def root_projection(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): 0 for nodes without children, otherwise 1 + the highest level of a child.
 
-    ``edges`` has container and entity.  No level can exceed the number of nodes unless there is a cycle.
+    ``edges`` has container and entity.  Edges whose entity has no edge of its own are peeled off in each round; the
+    containers of what is left after ``k`` rounds have a level of more than ``k``.  Where a round peels nothing there is
+    a cycle.  Joins are sorted, as a table sent to every task anew in each round goes through the driver.
     """
-    edges = edges.select("container", "entity").distinct()
-    nodes = edges.select(F.col("container").alias("node")).unionByName(edges.select(F.col("entity").alias("node"))).distinct()
-    level = checkpointed(nodes.withColumn("level", F.lit(0)))
-    for _ in range(level.count() + 1):
-        raised = edges.join(level, F.col("entity") == F.col("node")).groupBy(F.col("container").alias("node")).agg((F.max("level") + 1).alias("up"))
-        after = checkpointed(level.join(raised, "node", "left").select("node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.coalesce("up", F.lit(0)) > F.col("level")).alias("moved")))
-        level = after.select("node", "level")
-        if after.filter("moved").isEmpty():
-            return level
-    raise CycleError(level.select("node"))
+    left = written(edges.select("container", "entity").distinct())
+    nodes = left.select(F.col("container").alias("node")).unionByName(left.select(F.col("entity").alias("node")))
+    reached, count, k = nodes.withColumn("level", F.lit(0)), left.count(), 0
+    while count:
+        k += 1
+        above = left.select(F.col("container").alias("_above")).distinct()
+        reached = reached.unionByName(left.select(F.col("container").alias("node"), F.lit(k).alias("level")))
+        left = written(left.join(above.hint("merge"), F.col("entity") == F.col("_above"), "left_semi"))
+        now = left.count()
+        if now == count:
+            raise CycleError(left.select(F.col("container").alias("node")).distinct())
+        count = now
+    return reached.groupBy("node").agg(F.max("level").alias("level"))
 
 
 def compositions(requests: DataFrame) -> DataFrame:

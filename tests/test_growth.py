@@ -101,3 +101,11 @@ def test_words_are_digested_once(spark):
     """Neither the id of a text nor the number of its words makes the digests of all words anew."""
     plan = plans_admission.admitted_content(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"split\(text", plan)) == 2  # the documents, and the third that is stored
+
+
+def test_levels_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(closure, "written", lambda df, old=closure.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or old(df))
+    edges = spark.range(2, 64).select(F.col("id").alias("container"), F.expr("id div 2").alias("entity"))
+    assert dict(closure.levels(edges).collect()) == {k: k.bit_length() - 1 for k in range(1, 64)}
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 TASK_TEXT = 4_000_000
 
 
-def dealt(rows: DataFrame, container: str, text: str) -> DataFrame:
+def dealt(rows: DataFrame, container: str | list[str], text: str) -> DataFrame:
     """``rows`` dealt by container into tasks of about ``TASK_TEXT`` bytes of text.
 
     Done before texts are taken apart, this is the only shuffle of whatever partitions by container afterwards, and it
     moves texts instead of tokens; the number of tasks, not their memory, follows the input.
     """
     size = rows.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
-    return rows.repartition(1 + size // TASK_TEXT, container)
+    return rows.repartition(1 + size // TASK_TEXT, *([container] if isinstance(container, str) else container))
 
 
 def tokens(rows: DataFrame, container: str, text: Column) -> DataFrame:

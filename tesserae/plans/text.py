@@ -132,11 +132,17 @@ def interval_precedes(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT doc_id, text IS NOT DISTINCT FROM array_to_string(string_split(text, ' '), ' ') AS exact FROM documents")
 def readback_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Every text, taken apart into ordered pieces, and put together again from them, in any order of rows."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    pieces = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("ordinal", "piece"))
-    again = pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "piece"))), lambda x: x["piece"]), " ").alias("again"))
-    return docs.join(again, "doc_id", "left").select("doc_id", F.col("text").eqNullSafe(F.col("again")).alias("exact"))
+    """Every text, taken apart into ordered pieces, and put together again from them, in any order of rows.
+
+    Texts are told apart by id and digest, so that ids that are shared or null don't mix their pieces.  They are dealt
+    before they are taken apart: pieces stay in the task of their text.
+    """
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("_id"), F.sha2("text", 256).alias("_digest"), "text")
+    dealt = occurrence.dealt(docs, ["_id", "_digest"], "text")
+    pieces = dealt.select("_id", "_digest", F.posexplode(F.split("text", " ")).alias("ordinal", "piece"))
+    again = pieces.groupBy("_id", "_digest").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("ordinal", "piece"))), lambda x: x["piece"]), " ").alias("again"))
+    mine = again.select(F.col("_id").alias("_i"), F.col("_digest").alias("_d"), "again")
+    return dealt.join(mine, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_digest").eqNullSafe(F.col("_d")), "left").select(F.col("_id").alias("doc_id"), F.col("text").eqNullSafe(F.col("again")).alias("exact"))
 
 
 @registered()

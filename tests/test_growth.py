@@ -109,3 +109,9 @@ def test_levels_broadcast_nothing(spark, monkeypatch):
     edges = spark.range(2, 64).select(F.col("id").alias("container"), F.expr("id div 2").alias("entity"))
     assert dict(closure.levels(edges).collect()) == {k: k.bit_length() - 1 for k in range(1, 64)}
     assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_readback_keeps_texts_of_one_id_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c  d"), (2, "e f"), (2, "e f"), (None, "g h"), (3, None), (4, "")], "doc_id bigint, text string")
+    monkeypatch.setattr(text, "table", lambda *_: docs)
+    assert [r["exact"] for r in text.readback_exact(spark, "").collect()] == [True] * 7
